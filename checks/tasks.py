@@ -115,7 +115,7 @@ def tb01(v):
 TB02 = with_views("patient", "encounter", "condition", "procedure_t", "imaging_study", "episode_of_care", "diagnostic_report", more={
     "tl": timeline_sql(["condition", "procedure", "imaging_study", "diagnostic_report", "episode_of_care"], IMAGE),
     "stays": STAYS,
-    "daily": DAILY + " QUALIFY row_number() OVER (PARTITION BY encounter_id ORDER BY cut) <= 30",
+    "daily": f"SELECT * FROM ({DAILY}) QUALIFY row_number() OVER (PARTITION BY encounter_id ORDER BY cut) <= 30",
     "cuts": """SELECT d.*, l.labels FROM daily d JOIN (SELECT patient_id, encounter_id, cut,
   list_sort(list(DISTINCT CASE WHEN modality_code IN ('CR','CT','MR','US','XA','NM','OT') THEN modality_code ELSE 'OT' END)) AS labels
   FROM daily JOIN (SELECT patient_id, started, modality_code FROM imaging_study) i USING (patient_id)

@@ -15,10 +15,14 @@ def hot_keys(df: DataFrame, keys: list[str], max_hot: int = MAX_HOT, min_rows: i
     The counts add up to the total, so fewer than ``max_hot`` keys can qualify:
     the result is small whatever the input size.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("t")).select(F.coalesce("t", F.lit(0))).scalar()
+    return hot_from_counts(df.groupBy(*keys).agg(F.count("*").alias("n")), keys, max_hot, min_rows)
+
+
+def hot_from_counts(counts: DataFrame, keys: list[str], max_hot: int = MAX_HOT, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """The same from a table that already holds the row count ``n`` per key."""
+    total = counts.agg(F.sum("n").alias("t")).select(F.coalesce("t", F.lit(0))).scalar()
     limit = F.greatest(F.lit(min_rows), (total / max_hot).cast("bigint"))
-    return counts.where(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts"))
+    return counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
 
 
 def salted_join(
