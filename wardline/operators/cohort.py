@@ -49,8 +49,9 @@ def encounter_cohort(df: DataFrame, patients: DataFrame, now: Column | None = No
 
 
 def patient_cohort(patients: DataFrame) -> DataFrame:
-    rows = canonicalise(patients, patients)
-    kept = first_rows(rows, ["patient_id"], ["original_patient_id"]).drop("original_patient_id")
+    """One row per linked id, from the smallest of its ids, with the insurance label."""
+    rows = patients.withColumnRenamed("patient_id", "_own").withColumnRenamed("linked_patient_id", "patient_id")
+    kept = first_rows(rows, ["patient_id"], ["_own"]).drop("_own")
     return kept.withColumn("insurance_type", map_insurance(F.col("insurance_type")))
 
 
