@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.codes import sha256_id
+from wardline.functions.texts import strip
 from wardline.functions.times import plus_days, time_text
 
 
@@ -35,7 +36,7 @@ def history_references(text: Column, patient_id: Column, cut: Column, basis: str
 
     def entry(line):
         at = F.substring_index(line, ":", 1)
-        value = F.trim(F.substr(line, F.length(at) + 2))
+        value = strip(F.substr(line, F.length(at) + 2))
         return F.struct(at.alias("at"), value.alias("value"))
 
     dated = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), entry)
