@@ -75,19 +75,26 @@ def _(v):
 
 
 def perm_sql() -> str:
+    """Multiplier and offset of each permutation as 32-bit halves."""
     a, b = N.permutations()
-    rows = ", ".join(f"({i}, {x}::HUGEINT, {y}::HUGEINT)" for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())))
-    return f"SELECT * FROM (VALUES {rows}) AS p(i, a, b)"
+    rows = ", ".join(
+        f"({i}, {x >> 32}::UBIGINT, {x & N.MASK}::UBIGINT, {y >> 32}::UBIGINT, {y & N.MASK}::UBIGINT)"
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist()))
+    )
+    return f"SELECT * FROM (VALUES {rows}) AS p(i, ah, al, bh, bl)"
 
 
+# (h * a + b) modulo 2^64 in 32-bit halves, as DuckDB raises on overflow.
 MINHASH = {
     "tokens": TOKENS,
     "grams": GRAMS,
-    "hashes": """SELECT doc_id, ('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::UBIGINT::HUGEINT AS h
+    "hashes": """SELECT doc_id, ('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::UBIGINT AS h
   FROM (SELECT doc_id, sha1(g) AS h FROM (SELECT doc_id, unnest(g) AS g FROM grams))""",
     "perms": perm_sql(),
-    "signs": """SELECT doc_id, i, min(((h * a + b) % 18446744073709551616::HUGEINT % 2305843009213693951::HUGEINT % 4294967296::HUGEINT)::BIGINT) AS v
-  FROM hashes, perms GROUP BY 1, 2""",
+    "products": """SELECT doc_id, i, bh, ((h * ah + ((h * al) >> 32)) & 4294967295::UBIGINT) AS hi,
+  ((h * al) & 4294967295::UBIGINT) + bl AS lo FROM hashes, perms""",
+    "signs": """SELECT doc_id, i, min((((((hi + bh + (lo >> 32)) & 4294967295::UBIGINT) * 4294967296::UBIGINT + (lo & 4294967295::UBIGINT))
+  % 2305843009213693951::UBIGINT) & 4294967295::UBIGINT)::BIGINT) AS v FROM products GROUP BY 1, 2""",
     "bands": """SELECT doc_id, i // 16 AS band, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS key FROM signs GROUP BY 1, 2""",
     "firsts": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
     "buckets": "SELECT *, min(doc_id) OVER (PARTITION BY band, key) AS low FROM bands WHERE doc_id IN (SELECT doc_id FROM firsts)",
@@ -97,7 +104,7 @@ MINHASH = {
 
 @check(
     "tx03_minhash",
-    ctes({k: MINHASH[k] for k in ("tokens", "grams", "hashes", "perms", "signs")})
+    ctes({k: MINHASH[k] for k in ("tokens", "grams", "hashes", "perms", "products", "signs")})
     + "SELECT doc_id, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS sign FROM signs GROUP BY 1",
 )
 def _(v):
@@ -149,8 +156,8 @@ def _(v):
     "ag14_dedup_stats",
     recursive(REACH)
     + """, kept AS (SELECT doc_id FROM firsts WHERE doc_id NOT IN (SELECT node FROM parts WHERE node <> component))
-  SELECT (SELECT count(*) FROM documents) AS before, (SELECT count(*) FROM kept) AS after, before - after AS duplicates,
-  round((before - after) / before, 6) AS share""",
+  SELECT before, after, before - after AS duplicates, round((before - after) / before, 6) AS share
+  FROM (SELECT (SELECT count(*) FROM documents) AS before, (SELECT count(*) FROM kept) AS after)""",
 )
 def _(v):
     docs = v.raw("documents").select("doc_id", "text")
@@ -187,10 +194,10 @@ def _(v):
 @check(
     "tx09_history_references",
     with_views("encounter", more={
-        "l": """SELECT encounter_id, patient_id, unnest([strftime(start - INTERVAL 1 DAY, '%Y-%m-%d'), strftime(start + INTERVAL 3 DAY, '%Y-%m-%d'), '1990-01-01']) AS at,
+        "l": """SELECT encounter_id, patient_id, unnest([strftime(start - INTERVAL 1 DAY, '%Y-%m-%d'), strftime(start + INTERVAL 3 DAY, '%Y-%m-%d'), '1990-01-01']) AS dated,
   unnest([type_display, 'too late', 'a: b']) AS value FROM encounter"""
     })
-    + """SELECT encounter_id, 'Condition/' || sha256(patient_id || ':' || at || ':' || value) AS reference, value || ' on ' || at AS display
+    + """SELECT encounter_id, 'Condition/' || sha256(patient_id || ':' || dated || ':' || value) AS reference, value || ' on ' || dated AS display
   FROM l WHERE value <> 'too late'""",
 )
 def _(v):

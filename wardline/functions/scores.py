@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline.functions.texts import let
+
 
 def sigmoid(logits: Column) -> Column:
     return F.transform(logits, lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x)))
@@ -12,9 +14,13 @@ def sigmoid(logits: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Probabilities of a logit list, shifted by its maximum."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    shifted = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
+        return let(total, lambda t: F.transform(powers, lambda x: x / t))
+
+    return let(shifted, shares)
 
 
 def argmax(values: Column) -> Column:

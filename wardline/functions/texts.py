@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(BLANKS))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_tokens(text: Column) -> Column:
     """Pieces between single non-word characters, empty pieces included."""
     return F.split(text, "[^A-Za-z_0-9]", -1)
@@ -61,13 +68,15 @@ def word_tokens(text: Column) -> Column:
 
 def word_ngrams(text: Column, n: int = 13, min_tokens: int = 3) -> Column:
     """Distinct n-grams of the word pieces, none for texts that are too short."""
-    tokens = word_tokens(text)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - n + 1),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    enough = F.size(tokens) >= max(n, min_tokens)
-    return F.when(enough, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    def grams(tokens: Column) -> Column:
+        found = F.transform(
+            F.sequence(F.lit(1), F.size(tokens) - n + 1),
+            lambda i: F.array_join(F.slice(tokens, i, n), " "),
+        )
+        enough = F.size(tokens) >= max(n, min_tokens)
+        return F.when(enough, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return let(word_tokens(text), grams)
 
 
 def metadata_field(text: Column, name: str) -> Column:
