@@ -27,24 +27,17 @@ LINES = {
 }
 IMAGE = {**LINES, "imaging_study": ("imaging_study", "started", "imaging_study_id", ["description", "modality_code", "procedure_code"])}
 
-# Copies of one record id: the first by time, then by the other columns in table order.
-COPY_ORDER = {
-    "condition": "condition_date, encounter_id, icd_code, icd_display NULLS FIRST, icd_version, code_diagnosis_type",
-    "procedure": 'start, encounter_id, code, display, status, "end"',
-    "imaging_study": "started, encounter_id, description, procedure_code, modality_code",
-}
-
-
 def timeline_sql(resources, lines=LINES) -> str:
     parts = []
     for name in resources:
         view, time, key, cells = lines[name]
-        version = "icd_version" if name == "condition" else "NULL"
-        dedup = ""
-        if key:
-            dedup = f" QUALIFY row_number() OVER (PARTITION BY patient_id, {key} ORDER BY {COPY_ORDER[name]}) = 1"
+        version = "icd_version" if name == "condition" else "NULL::VARCHAR"
+        line = f"concat_ws(', ', {', '.join(cells)})"
+        # copies of one record id: the first by time, line and version
+        order = f"{time}, {line}, {version}"
+        dedup = f" QUALIFY row_number() OVER (PARTITION BY patient_id, {key} ORDER BY {order}) = 1" if key else ""
         parts.append(
-            f"SELECT patient_id, {time} AS ts, '{name}' AS resource, concat_ws(', ', {', '.join(cells)}) AS line, "
+            f"SELECT patient_id, {time} AS ts, '{name}' AS resource, {line} AS line, "
             f"{version} AS icd_version FROM {view} WHERE {time} IS NOT NULL{dedup}"
         )
     return " UNION ALL ".join(parts)

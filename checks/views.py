@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+LARGE = ("lineitem", "orders", "documents", "events")
+
+
 class Views:
     """Lazy tables of one data folder."""
 
@@ -21,7 +24,10 @@ class Views:
     def raw(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         zoneless = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
-        return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+        df = df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
+        # a table that is one file with one row group would be read by a single task
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
 
     @cached_property
     def encounter(self) -> DataFrame:

@@ -39,19 +39,19 @@ def cell_text(df: DataFrame, name: str) -> Column:
 def resource_lines(df: DataFrame, name: str, task: str | None = None) -> DataFrame:
     """(patient_id, ts, resource, line, icd_version) rows of one resource."""
     spec = RESOURCES[name]
-    if spec.keys:
-        df = first_rows(df, list(spec.keys), [spec.time])
     line = F.concat_ws(", ", *[cell_text(df, c) for c in spec.columns(task)])
     version = F.lit(None).cast("string")
     if name == "condition" and "icd_version" in df.columns:
         version = cell_text(df, "icd_version")
-    return df.where(F.col(spec.time).isNotNull()).select(
-        "patient_id",
+    rows = df.where(F.col(spec.time).isNotNull()).select(
+        *dict.fromkeys(("patient_id", *spec.keys)),
         F.col(spec.time).alias("ts"),
-        F.lit(name).alias("resource"),
         line.alias("line"),
         version.alias("icd_version"),
     )
+    if spec.keys:
+        rows = first_rows(rows, list(spec.keys), ["ts"])
+    return rows.select("patient_id", "ts", F.lit(name).alias("resource"), "line", "icd_version")
 
 
 def timeline(tables: dict[str, DataFrame], resources: tuple[str, ...], task: str | None = None) -> DataFrame:
@@ -159,8 +159,8 @@ def patient_days(lines: DataFrame, resources: tuple[str, ...]) -> DataFrame:
     of day can be rendered from the same row.
     """
     counted = (
-        lines.groupBy("patient_id", F.to_date("ts").alias("day"), "resource", "line", "ts")
-        .agg(F.count("*").alias("n"), F.max("icd_version").alias("icd_version"))
+        lines.groupBy("patient_id", F.to_date("ts").alias("day"), "resource", "line", "ts", "icd_version")
+        .agg(F.count("*").alias("n"))
         .repartition("patient_id", "day")
     )
     per_line = counted.groupBy("patient_id", "day", "resource", "line").agg(
