@@ -11,7 +11,7 @@ from wardline.functions.times import plus_days
 from wardline.operators import splits as S
 from wardline.plans import prepare as P
 from wardline.plans import tasks as T
-from wardline.session import scratch_path
+from wardline.session import cut_lineage, scratch_path
 from wardline.sources import tables as ST
 
 ENC = with_views("encounter")
@@ -171,7 +171,8 @@ def _(v):
   SELECT part, label, n FROM c QUALIFY row_number() OVER (PARTITION BY part ORDER BY n DESC, label) <= 20""",
 )
 def _(v):
-    return P.label_summary(P.split_samples(T.build_samples(v.tables, T.ds_icd())))
+    samples = cut_lineage(T.build_samples(v.tables, T.ds_icd()).select("patient_id", "labels"))
+    return P.label_summary(P.split_samples(samples))
 
 
 @check("src16_window_extract", ENC + f"SELECT encounter_id, {ts_sql('start')} AS start FROM encounter WHERE start BETWEEN TIMESTAMP '1996-05-01' AND TIMESTAMP '1996-08-01'")
