@@ -78,7 +78,7 @@ def test_build_or_reuse(spark):
 def test_document_store_is_partitioned_by_category(spark):
     docs = spark.createDataFrame([(str(i), f"t{i}", "a" if i % 3 else "b") for i in range(30)], "diagnostic_report_id string, text string, category_name string")
     path = scratch_path(spark, "docs")
-    D.write_documents(docs, path, shards=4)
+    D.write_documents(docs, path)
     back = spark.read.parquet(path)
     assert back.count() == 30 and back.where(F.col("category") == "b").count() == 10
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions.codes import code_in_system, extension_value, extract_id, safe_get, strip_ref
 from wardline.functions.times import to_utc
+from wardline.operators.rows import first_rows
 
 CODING = "struct<system:string,version:string,code:string,display:string>"
 CONCEPT = f"struct<coding:array<{CODING}>,text:string>"
@@ -150,7 +151,7 @@ def flatten_patient(df: DataFrame) -> DataFrame:
         to_utc(F.col("deceasedDateTime")).alias("deceased_date"),
         F.coalesce(F.filter(links, lambda x: x.isNotNull()), F.array().cast("array<string>")).alias("links"),
     )
-    return rows.dropDuplicates(["patient_id"])
+    return first_rows(rows, ["patient_id"])
 
 
 def flatten_procedure(df: DataFrame) -> DataFrame:
