@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.session import cut_lineage
+
 SEED = 42
 PREFIX = 4
 
@@ -90,11 +92,14 @@ def label_covering_split(samples: DataFrame, ratio: float = 0.8, other: str = "t
     ids = distinct_ids(samples)
     smallest = F.min(F.struct(key_hash("patient_id").alias("h"), F.col("patient_id")))
     forced = sample_labels(samples).groupBy("label").agg(smallest.alias("m")).select("m.patient_id").distinct()
-    target = F.floor(F.lit(ratio) * ids.agg(F.count("*")).scalar())
-    room = target - forced.agg(F.count("*")).scalar()
-    rest = hash_rank(ids.join(forced, "patient_id", "left_anti"), ["patient_id"])
+    # one small row per patient, stored so that counts and ranks do not read the samples again
+    patients = cut_lineage(ids.join(forced.withColumn("forced", F.lit(True)), "patient_id", "left"))
+    counts = patients.agg(F.count("*").alias("n"), F.count("forced").alias("k"))
+    room = counts.select(F.floor(F.lit(ratio) * F.col("n")) - F.col("k")).scalar()
+    rest = hash_rank(patients.where(F.col("forced").isNull()).select("patient_id"), ["patient_id"])
     filled = rest.select("patient_id", F.when(F.col("rank") <= room, "train").otherwise(other).alias("split"))
-    return forced.withColumn("split", F.lit("train")).unionByName(filled)
+    train = patients.where("forced").select("patient_id", F.lit("train").alias("split"))
+    return train.unionByName(filled)
 
 
 def check_split(split: DataFrame, ratio: float = 0.8, tolerance: float = 0.3) -> None:
