@@ -33,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     A machine-local folder is only acceptable where driver and executors are
     one process, so anything but a local master must name the folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    name = "spark.checkpoint.dir"
+    folder = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name)
     if folder:
         return folder.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
