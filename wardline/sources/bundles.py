@@ -10,10 +10,14 @@ BUNDLE = "resourceType string, entry array<struct<resource:string>>"
 
 
 def read_bundles(df: DataFrame, json_col: str = "value") -> DataFrame:
-    """(resource_type, resource) for every ``entry[].resource`` of the bundles."""
+    """(resource_type, resource) for every ``entry[].resource`` of the bundles.
+
+    The outer explode keeps Spark from testing the list for rows beforehand,
+    which would parse each bundle again.
+    """
     bundle = df.select(F.from_json(json_col, BUNDLE).alias("b"))
-    entries = bundle.select(F.explode("b.entry").alias("e")).select(F.col("e.resource").alias("resource"))
-    return tag_resources(entries)
+    entries = bundle.select(F.explode_outer("b.entry").alias("e")).select(F.col("e.resource").alias("resource"))
+    return tag_resources(entries.where(F.col("resource").isNotNull()))
 
 
 def tag_resources(df: DataFrame, json_col: str = "resource") -> DataFrame:

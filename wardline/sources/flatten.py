@@ -224,9 +224,9 @@ def flatten_imaging_study(df: DataFrame) -> DataFrame:
         procedure["code"].alias("procedure_code"),
         reason["display"].alias("reason_code_display"),
         reason["version"].alias("reason_code_version"),
-        F.explode("series").alias("s"),
+        F.explode_outer("series").alias("s"),
     )
-    return studies.select(
+    return studies.where(F.col("s").isNotNull()).select(
         "*",
         F.col("s.uid").alias("series_instance_uid"),
         F.col("s.number").alias("series_number"),
