@@ -92,17 +92,17 @@ _CONTROL = r"</s>[INST] ok [/INST]"
 ORACLE = {
     "op8_repeated_words": r"""
 with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
-at as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word, len(w) as n, unnest([case when i <= len(w) - 12 then array_to_string(w[i:i + 12], ' ') end for i in range(1, len(w) + 1)]) as s from words),
-first as (select s, min(doc_id) as low from at where s is not null group by s),
-marked as (select at.*, coalesce(first.low < doc_id, false) as dup from at left join first using (s)),
+placed as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word, len(w) as n, unnest([case when i <= len(w) - 12 then array_to_string(w[i:i + 12], ' ') end for i in range(1, len(w) + 1)]) as s from words),
+first as (select s, min(doc_id) as low from placed where s is not null group by s),
+marked as (select placed.*, coalesce(first.low < doc_id, false) as dup from placed left join first using (s)),
 gone as (select *, max(dup::int) over (partition by doc_id order by i rows between 12 preceding and current row) as out from marked),
 by_doc as (select doc_id, sum(out)::bigint as n_removed, sha256(coalesce(string_agg(word, ' ' order by i) filter (out = 0), '')) as kept_sha256 from gone group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, coalesce(kept_sha256, sha256('')) as kept_sha256 from words left join by_doc using (doc_id)
 """,
     "op9_repeated_bytes": r"""
 with bytes as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-at as (select doc_id, unnest(range(0, (length(h) // 2)::bigint)) as i, h from bytes),
-cut as (select doc_id, i, substr(h, 2 * i + 1, 2) as b, case when 2 * i + 200 <= length(h) then md5_number(substr(h, 2 * i + 1, 200)) end as s from at),
+placed as (select doc_id, unnest(range(0, (length(h) // 2)::bigint)) as i, h from bytes),
+cut as (select doc_id, i, substr(h, 2 * i + 1, 2) as b, case when 2 * i + 200 <= length(h) then md5_number(substr(h, 2 * i + 1, 200)) end as s from placed),
 first as (select s, min(struct_pack(d := doc_id, i := i)) as low from cut where s is not null group by s),
 marked as (select doc_id, i, b, coalesce(low < struct_pack(d := doc_id, i := i), false) as dup from cut left join first using (s)),
 gone as (select *, max(dup::int) over (partition by doc_id order by i rows between 99 preceding and current row) as out from marked),
