@@ -12,9 +12,9 @@ Rows with equal shingle sets are one class from the start, so copies cost one
 row each. In a band with k classes the smallest one is compared with the
 k - 1 others. Only bands whose classes are still in several groups then
 compare classes across groups. Before that, exact bounds take out what can't
-be linked any more: sizes that differ too much, and sets with too many
-shingles that no other such set has (most distant members of a cloud of near
-copies). No link between different texts is lost to the bounds.
+be linked any more: sizes that differ too much, and sets with too many rare
+shingles (most members of a cloud of near copies that are not linked to its
+centre). No link between different texts is lost to the bounds.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from wardline.operators.components import connected_components
 from wardline.session import cut_lineage
 
 BANDS, ROWS = 25, 4
+RARE = 20
 _U = np.uint64
 _SKETCH = "id long, n_shingles long, key_a long, key_b long, bands array<long>"
 
@@ -144,6 +145,45 @@ def _close(percent: int, one: str, two: str):
     return 100 * F.least(one, two) >= percent * F.greatest(one, two)
 
 
+def _across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (src, dst) of different groups that share a band and can be similar enough.
+
+    A shingle held by at most ``RARE`` of these sets is rare. Two sets share
+    their common rare shingles and at most as many others as the one with
+    fewer others holds. So either the others alone are enough, which few pairs
+    from different groups pass, or a rare shingle is shared, and pairs are
+    found by it: at most ``RARE`` sets meet there.
+    """
+    members = sets.join(named.select("id").distinct(), "id", "left_semi").mapInArrow(_members, "id long, h long")
+    held = cut_lineage(members.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id")).where(F.col("df") <= RARE))
+    few = cut_lineage(members.join(held.where("df > 1").select("h"), "h"))
+    rare = held.where("df = 1").select("id").unionAll(few.select("id")).groupBy("id").agg(F.count("*").alias("rare"))
+    known = named.select("id", "n", "group").distinct().join(rare, "id", "left")
+    known = cut_lineage(known.select("id", "n", "group", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("others")))
+    left = known.select(F.col("id").alias("src"), F.col("n").alias("n1"), F.col("others").alias("o1"), F.col("group").alias("g1"))
+    right = known.select(F.col("id").alias("dst"), F.col("n").alias("n2"), F.col("others").alias("o2"), F.col("group").alias("g2"))
+    apart = (F.col("g1") != F.col("g2")) & _close(percent, "n1", "n2")
+    # the intersection has to be percent / (100 + percent) of both sizes together
+    needed = percent * (F.col("n1") + F.col("n2"))
+
+    ids = few.groupBy("h").agg(F.collect_list("id").alias("ids"))  # RARE ids at most
+    met = ids.select(F.explode("ids").alias("src"), "ids").select("src", F.explode(F.filter("ids", lambda i: i > F.col("src"))).alias("dst"))
+    met = met.groupBy("src", "dst").agg(F.count("*").alias("shared"))
+    by_rare = met.join(left, "src").join(right, "dst").where(apart & ((100 + percent) * (F.col("shared") + F.least("o1", "o2")) >= needed))
+
+    # sets whose other shingles can't be enough for any partner of their band are left out
+    banded = named.select("band", "id").join(known, "id")
+    least = banded.groupBy("band").agg(F.min("n").alias("least"))
+    partner = F.greatest("least", F.col("n") * percent / 100)
+    banded = banded.join(least, "band").where((100 + percent) * F.col("others") >= percent * (F.col("n") + partner))
+    banded = cut_lineage(_torn(banded.drop("least")))
+    one = banded.select("band", F.col("id").alias("src"), F.col("n").alias("n1"), F.col("others").alias("o1"), F.col("group").alias("g1"))
+    two = banded.select("band", F.col("id").alias("dst"), F.col("n").alias("n2"), F.col("others").alias("o2"), F.col("group").alias("g2"))
+    enough = (100 + percent) * F.least("o1", "o2") >= needed
+    by_band = one.join(two, (one.band == two.band) & (F.col("src") < F.col("dst")) & apart & enough)
+    return by_rare.select("src", "dst").union(by_band.select("src", "dst")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -183,21 +223,8 @@ def near_duplicates(
     # classes that met in a band, but are not in one group yet, are compared across groups
     named = met.select("band", "id", "n").join(groups.withColumnRenamed("node", "id"), "id", "left")
     named = cut_lineage(_torn(named.select("band", "id", "n", F.coalesce("component", "id").alias("group"))))
-    own = sets.join(named.select("id").distinct(), "id", "left_semi").mapInArrow(_members, "id long, h long")
-    own = own.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id")).where("df = 1").groupBy("id").agg(F.count("*").alias("own"))
-    named = named.join(own, "id", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
-    # the intersection is at most what a set does not hold alone, and at least percent / (100 + percent) of both sizes
-    least = named.groupBy("band").agg(F.min("n").alias("least"))
-    partner = F.greatest("least", F.col("n") * percent / 100)
-    named = named.join(least, "band").where((100 + percent) * F.col("common") >= percent * (F.col("n") + partner))
-    named = cut_lineage(_torn(named.select("band", "id", "n", "common", "group")))
-    left = named.select("band", F.col("id").alias("src"), F.col("n").alias("n1"), F.col("common").alias("c1"), F.col("group").alias("g1"))
-    right = named.select("band", F.col("id").alias("dst"), F.col("n").alias("n2"), F.col("common").alias("c2"), F.col("group").alias("g2"))
-    enough = (100 + percent) * F.least("c1", "c2") >= percent * (F.col("n1") + F.col("n2"))
-    across = left.join(right, (left.band == right.band) & (F.col("src") < F.col("dst")) & (F.col("g1") != F.col("g2")) & _close(percent, "n1", "n2") & enough)
-    across = across.select("src", "dst").distinct()
-    across = cut_lineage(across.join(star, ["src", "dst"], "left_anti"))
-    more = cut_lineage(_verified(across, sets, percent))
+    across = _across(named, sets, percent).join(star, ["src", "dst"], "left_anti")
+    more = cut_lineage(_verified(cut_lineage(across), sets, percent))
     groups = connected_components(links.unionByName(more))
 
     head = groups.select(F.col("node").alias("head"), "component")
