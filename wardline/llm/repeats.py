@@ -261,8 +261,7 @@ def _first_packets(search: Search, buckets: int, text_col: str, id_col: str):
                 seg = segments(units, search)
                 first = seg.first
                 columns = {"body": seg.body[first], "id": units.ids[seg.text[first]], "where": seg.start[first] - units.bounds[seg.text[first]]}
-                rows = list(_packets(block, FIRST, buckets, seg.anchor[first], columns))
-                yield pa.RecordBatch.from_struct_array(_rows(rows, _PACKED).to_struct_array().combine_chunks()) if rows else _rows([], _PACKED).to_batches()[0]
+                yield from _rows(list(_packets(block, FIRST, buckets, seg.anchor[first], columns)), _PACKED).to_batches()
 
     return run
 
