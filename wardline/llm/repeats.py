@@ -38,7 +38,7 @@ from wardline.llm.batches import prefix_sums, raw, slices, span_hashes
 from wardline.session import cut_lineage
 
 BLOCK_BYTES = 1 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 CROWD = 512
 MATCH_WINDOWS = 200_000
 _U = np.uint64

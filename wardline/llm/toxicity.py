@@ -122,11 +122,17 @@ def toxicity_model(
         for part in slices(table.to_batches(), "text"):
             for h in _sets(part.column("text")):
                 texts[(h % _U(COUNTERS)).astype(np.int64)] += 1
-        keys = []
+        often = [
+            np.unique(np.concatenate([h[texts[(h % _U(COUNTERS)).astype(np.int64)] >= LEAST_TEXTS] for h in _sets(part.column("text"))]))
+            for part in slices(table.to_batches(), "text")
+        ]
+        seen = np.unique(np.concatenate(often))
+        rows = []  # feature numbers of 4 bytes
         for part in slices(table.to_batches(), "text"):
-            keys += [h[texts[(h % _U(COUNTERS)).astype(np.int64)] >= LEAST_TEXTS] for h in _sets(part.column("text"))]
-        seen, index = np.unique(np.concatenate(keys), return_inverse=True)
-        rows = np.split(index, np.cumsum([len(k) for k in keys])[:-1])
+            for h in _sets(part.column("text")):
+                at = np.searchsorted(seen, h)
+                known = at < len(seen)
+                rows.append(at[known][seen[at[known]] == h[known]].astype(np.int32))
         w, bias = ftrl(rows, table.column("label").to_numpy().astype(np.float64), len(seen))
         some = w != 0
         return pa.table({"key": pa.array(np.append(seen.view(np.int64)[some], -1)), "weight": pa.array(np.append(w[some], bias))})
