@@ -20,13 +20,15 @@ def test_restart_continues_and_repeats_are_dropped(spark):
 
     def run():
         stream = I.bundle_stream(spark, landing)
-        I.ingest(stream, "observation", ["observation_id"], "effectivedatetime", table, marks).awaitTermination()
+        I.ingest(stream, "observation", ["observation_id"], table, marks).awaitTermination()
         return sorted(r.observation_id for r in spark.read.parquet(table).collect())
 
     land(spark, landing, [("a", BASE), ("b", BASE + dt.timedelta(days=1))])
     assert run() == ["a", "b"]
     land(spark, landing, [("b", BASE + dt.timedelta(days=1)), ("c", BASE + dt.timedelta(days=2))])
     assert run() == ["a", "b", "c"]
+    land(spark, landing, [("late", BASE - dt.timedelta(days=4 * 365)), ("a", BASE)])
+    assert run() == ["a", "b", "c", "late"]
 
 
 def test_recomputed_batches_replace_older_records(spark):
@@ -49,18 +51,15 @@ def test_recomputed_batches_replace_older_records(spark):
     assert run() == [("p", 1), ("q", 2)]
 
 
-def test_daily_activity_drops_late_rows(spark):
+def test_daily_activity_counts_late_rows(spark):
     landing, out, marks = (scratch_path(spark, n) for n in ("events", "days", "marks"))
     schema = "patient_id string, ts timestamp"
 
     def run(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
-        days = I.daily_activity(spark.readStream.schema(schema).parquet(landing), lateness="2 days")
-        writer = days.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
-        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-        back = spark.read.schema("patient_id string, day timestamp, n long").parquet(out)
-        return sorted((r.patient_id, (r.day - BASE).days, r.n) for r in back.collect())
+        I.daily_activity(spark.readStream.schema(schema).parquet(landing), out, marks).awaitTermination()
+        return sorted((r.patient_id, (r.day - BASE).days, r.n) for r in I.read_activity(spark, out).collect())
 
     day = dt.timedelta(days=1)
-    assert run([("p", BASE), ("p", BASE + day / 2), ("p", BASE + 5 * day)]) == [("p", 0, 2)]
-    assert run([("p", BASE), ("p", BASE + 9 * day)]) == [("p", 0, 2), ("p", 5, 1)]
+    assert run([("p", BASE), ("p", BASE + day / 2), ("p", BASE + 5 * day)]) == [("p", 0, 2), ("p", 5, 1)]
+    assert run([("p", BASE), ("p", BASE + 9 * day)]) == [("p", 0, 3), ("p", 5, 1), ("p", 9, 1)]

@@ -12,9 +12,6 @@ from wardline.operators.rows import first_rows
 from wardline.sources.bundles import read_bundles
 from wardline.sources.flatten import FLATTENERS
 
-LATENESS = "15 days"
-
-
 def bundle_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """(resource_type, resource) of bundle files as they land, one bundle per line."""
     reader = spark.readStream.format("text")
@@ -23,36 +20,42 @@ def bundle_stream(spark: SparkSession, path: str, files_per_trigger: int | None
     return read_bundles(reader.load(path))
 
 
-def ingest(
-    stream: DataFrame,
-    resource: str,
-    keys: list[str],
-    event_time: str,
-    path: str,
-    checkpoint: str,
-    lateness: str = LATENESS,
-) -> StreamingQuery:
-    """Appends the flat rows of one resource to a table, each key once.
+def ingest(stream: DataFrame, resource: str, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Appends the flat rows of one resource to a table, each key once, however late it comes.
 
-    Repeats of a key are dropped within the lateness bound; the state of older
-    keys is released.
+    A batch keeps the first of its repeats and drops keys that earlier batches
+    have stored (only the key columns of the table are read). Each batch has
+    its own folder, overwritten when the batch is repeated.
     """
     flat = FLATTENERS[resource](stream)
-    once = flat.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(keys)
-    return (
-        once.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(keys)
+        if batch_id:
+            stored = batch.sparkSession.read.parquet(path).where(F.col("batch_id") != batch_id)
+            new = new.join(stored.select(keys), keys, "left_anti").select(batch.columns)
+        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return flat.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def daily_activity(events: DataFrame, path: str, checkpoint: str, ts: str = "ts", key: str = "patient_id") -> StreamingQuery:
+    """Counts events per key and day, late ones too.
+
+    Each batch stores its own counts (overwritten when it is repeated);
+    ``read_activity`` adds them up, so no row waits for a watermark.
+    """
+    days = events.select(F.col(key), F.date_trunc("day", ts).alias("day"))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(key, "day").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return days.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def daily_activity(events: DataFrame, ts: str = "ts", key: str = "patient_id", lateness: str = LATENESS) -> DataFrame:
-    """Events per patient and day; rows later than the watermark are dropped."""
-    days = events.withWatermark(ts, lateness).groupBy(F.window(ts, "1 day"), key)
-    return days.agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("day"), "n")
+def read_activity(spark: SparkSession, path: str, key: str = "patient_id") -> DataFrame:
+    """(key, day, n) over all batches so far."""
+    return spark.read.parquet(path).groupBy(key, "day").agg(F.sum("n").alias("n"))
 
 
 def score_changes(
