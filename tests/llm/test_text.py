@@ -114,7 +114,10 @@ def test_rules(make, corpus):
     for r in clean_lines(make(rows)).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_rules(r.text)
         assert not (r.base_failed and r.kept)
-    prose = "".join(f"This is plain sentence number {i} with quite a few words about {i * i}.\n" for i in (7, 12, 40))
+    prose = (
+        "The harbour was quiet when the first boats came back.\nNobody had expected such weather so late in autumn.\n"
+        "Her brother carried two heavy baskets up the narrow stairs.\nLater they all sat by the fire and told old stories.\n"
+    )
     bad = "Home | About | News | Contact\nCLICK HERE FOR MORE OF ALL THE VERY BEST THINGS\nAll rights reserved by us.\n"
     got = clean_lines(make([(1, prose + bad), (2, bad + "One short line of prose is here.")])).orderBy("doc_id").collect()
     assert got[0].kept and got[0].cleaned == prose.strip() and got[0].n_failed_lines == 3 and not got[1].kept
