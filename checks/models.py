@@ -31,14 +31,15 @@ def _(v):
     return M.binary_metrics(v.prediction)
 
 
-# Two labels per document: quality and toxicity, each predicted by its own rule.
+# Labels per document: quality and toxicity, each predicted by its own rule, and one that is only ever predicted.
 MULTI = {
     "cells": """SELECT doc_id, 'good' AS label, truth AS t, predicted AS p FROM prediction UNION ALL
-  SELECT doc_id, 'toxic', toxic, (doc_id % 7 = 0)::INT FROM prediction""",
+  SELECT doc_id, 'toxic', toxic, (doc_id % 7 = 0)::INT FROM prediction UNION ALL
+  SELECT doc_id, 'spam', 0, (doc_id % 11 = 0)::INT FROM prediction""",
     "counts": "SELECT label, count_if(t = 1 AND p = 1) AS tp, count_if(t = 0 AND p = 1) AS fp, count_if(t = 1 AND p = 0) AS fn FROM cells GROUP BY 1",
     "per_class": """SELECT *, tp + fn AS support, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr,
   CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1
-  FROM counts WHERE tp + fn > 0""",
+  FROM counts WHERE tp + fn + fp > 0""",
 }
 MULTI_OUT = """SELECT round(1 - sum(fp + fn) / (count(*) * (SELECT count(*) FROM prediction)), 6) AS accuracy, round(avg(pr), 6) AS macro_precision,
   round(avg(re), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round(sum(tp) / sum(tp + fp), 6) AS micro_precision,
@@ -48,13 +49,13 @@ MULTI_OUT = """SELECT round(1 - sum(fp + fn) / (count(*) * (SELECT count(*) FROM
 
 
 def _multi(v):
-    def listed(first, second):
-        return F.array_compact(F.array(F.when(first, F.lit("good")), F.when(second, F.lit("toxic"))))
+    def listed(first, second, third):
+        return F.array_compact(F.array(F.when(first, F.lit("good")), F.when(second, F.lit("toxic")), F.when(third, F.lit("spam"))))
 
     return v.prediction.select(
         "doc_id",
-        listed(F.col("truth") == 1, F.col("toxic") == 1).alias("truth"),
-        listed(F.col("predicted") == 1, F.col("doc_id") % 7 == 0).alias("predicted"),
+        listed(F.col("truth") == 1, F.col("toxic") == 1, F.lit(False)).alias("truth"),
+        listed(F.col("predicted") == 1, F.col("doc_id") % 7 == 0, F.col("doc_id") % 11 == 0).alias("predicted"),
     )
 
 

@@ -75,7 +75,7 @@ def _(v):
         "freq": "SELECT label, count(*) AS n FROM lab GROUP BY 1",
         "strata": "SELECT patient_id, min({'n': n, 'label': label}).label AS stratum FROM lab JOIN freq USING (label) GROUP BY 1",
     })
-    + f"SELECT patient_id, stratum, (row_number() OVER (PARTITION BY stratum ORDER BY {HASH}) - 1) % 5 AS fold FROM strata",
+    + f"SELECT patient_id, stratum, (row_number() OVER (PARTITION BY stratum ORDER BY {HASH}) - 1 + ('0x' || substr(md5(stratum), 1, 6))::BIGINT) % 5 AS fold FROM strata",
 )
 def _(v):
     stems = F.array(F.substring_index("icd_code", ".", 1))

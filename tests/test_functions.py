@@ -110,3 +110,11 @@ def test_encounter_text_skips_nulls(spark):
         ),
     )
     assert row.t == "Beginn\t2020-01-01 10:00:00+00:00\nArt\tIMP"
+
+
+def test_number_text_prints_exponents_of_two_digits(spark):
+    from wardline.functions.texts import number_text
+
+    want = {1e-5: "1e-05", 1.5e-7: "1.5e-07", 2.5e-12: "2.5e-12", 1e16: "1e+16", 1.25e20: "1.25e+20", 0.0: "0.0", 12.5: "12.5", 2e7: "20000000.0", 5e-4: "0.0005"}
+    rows = spark.createDataFrame([(v,) for v in want], "v double")
+    assert {r.v: r.t for r in rows.select("v", number_text(F.col("v")).alias("t")).collect()} == want

@@ -126,10 +126,10 @@ def test_metrics_with_missing_classes(spark):
     rows = [(["a"], ["a", "b"]), (["a", "c"], ["a"]), (["b"], []), ([], ["x"])]
     df = spark.createDataFrame(rows, "truth array<string>, predicted array<string>")
     r = M.classification_metrics(df).first()
-    # a: tp 2; b: fp 1, fn 1; c: fn 1; x is not a class of the truth
-    assert r.accuracy == pytest.approx(1 - 3 / 12)
-    assert r.macro_precision == pytest.approx(1 / 3) and r.macro_recall == pytest.approx(1 / 3)
-    assert r.micro_precision == pytest.approx(2 / 3) and r.micro_recall == pytest.approx(2 / 4)
+    # a: tp 2; b: fp 1, fn 1; c: fn 1; x, which the truth never has: fp 1
+    assert r.accuracy == pytest.approx(1 - 4 / 16)
+    assert r.macro_precision == pytest.approx(1 / 4) and r.macro_recall == pytest.approx(1 / 4)
+    assert r.micro_precision == pytest.approx(2 / 4) and r.micro_recall == pytest.approx(2 / 4)
     assert r.weighted_recall == pytest.approx(0.5)
 
 
@@ -154,3 +154,20 @@ def test_running_best_over_buckets(spark):
     out = M.running_best(log, "step", F.floor(F.col("step") / 3)).collect()
     got = {m: sorted((r.step, r.value) for r in out if r.metric == m) for m in ("acc", "eval_loss")}
     assert got == {"acc": [(0, 3.0), (2, 4.0), (4, 5.0), (5, 9.0)], "eval_loss": [(0, 3.0), (1, 1.0)]}
+
+
+def test_rare_labels_spread_over_folds(spark):
+    from wardline.operators.splits import stratified_group_split
+
+    rows = spark.createDataFrame([(f"p{i}", [f"rare{i}"]) for i in range(100)], "patient_id string, labels array<string>")
+    sizes = [r["count"] for r in stratified_group_split(rows).groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and min(sizes) >= 8  # 20 each, give or take three standard deviations
+
+
+def test_predictions_of_unseen_labels_count(spark):
+    from wardline.operators.metrics import class_counts
+
+    rows = spark.createDataFrame([(["a"], ["a", "x"]), (["a"], ["a", "y"])], "truth array<string>, predicted array<string>")
+    assert {(r.label, r.tp, r.fp, r.fn) for r in class_counts(rows).collect()} == {("a", 2, 0, 0), ("x", 0, 1, 0), ("y", 0, 1, 0)}
+    known = spark.createDataFrame([("a",), ("b",)], "label string")
+    assert {(r.label, r.tp, r.fp, r.fn) for r in class_counts(rows, classes=known).collect()} == {("a", 2, 0, 0), ("b", 0, 0, 0)}

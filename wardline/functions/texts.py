@@ -22,12 +22,15 @@ ENCOUNTER_FIELDS = (
 
 
 def number_text(value: Column) -> Column:
-    """Shortest decimal text with at least one digit after the point."""
+    """Shortest decimal text: a digit after the point, or an exponent of two digits below 1e-4 and from 1e16."""
     plain = F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     size = F.abs(value)
-    everyday = (size == 0) | ((size >= 1e-3) & (size < 1e7)) | (size >= 1e16) | (size < 1e-4)
-    return F.when(everyday, value.cast("string")).otherwise(plain)
+    everyday = (size == 0) | ((size >= 1e-3) & (size < 1e7))
+    power = F.regexp_replace(value.cast("string"), r"\.0E", "E")
+    for pattern, text in ((r"E-(\d)$", "e-0$1"), (r"E-(\d\d+)$", "e-$1"), (r"E(\d+)$", "e+$1")):
+        power = F.regexp_replace(power, pattern, text)
+    return F.when(everyday, value.cast("string")).when((size >= 1e16) | (size < 1e-4), power).otherwise(plain)
 
 
 def kv_text(pairs: list[tuple[str, Column]]) -> Column:

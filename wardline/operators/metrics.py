@@ -13,11 +13,11 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
-def class_counts(df: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+def class_counts(df: DataFrame, truth: str = "truth", predicted: str = "predicted", classes: DataFrame | None = None) -> DataFrame:
     """(label, tp, fp, fn) of two label-list columns.
 
-    Classes are the labels that occur in the truth; a prediction of another
-    label is not counted, as it has no column in the label matrix.
+    Classes are the labels of ``classes`` (one column, label), or all that
+    occur in the truth or in a prediction, so no false positive is left out.
     """
     t, p = F.col(truth), F.col(predicted)
 
@@ -31,7 +31,9 @@ def class_counts(df: DataFrame, truth: str = "truth", predicted: str = "predicte
     )
     rows = df.select(F.inline(marks))
     counts = rows.groupBy("label").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("tp", "fp", "fn")])
-    return counts.where(F.col("tp") + F.col("fn") > 0)
+    if classes is None:
+        return counts
+    return classes.select("label").distinct().join(counts, "label", "left").na.fill(0, ["tp", "fp", "fn"])
 
 
 def metrics_from_counts(counts: DataFrame, rows: Column | int) -> DataFrame:

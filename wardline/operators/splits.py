@@ -111,14 +111,19 @@ def check_split(split: DataFrame, ratio: float = 0.8, tolerance: float = 0.3) ->
 
 
 def stratified_group_split(samples: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
-    """(patient_id, fold): whole patients, spread evenly inside the stratum of their rarest label."""
+    """(patient_id, fold): whole patients, spread evenly inside the stratum of their rarest label.
+
+    Each stratum starts at a fold drawn from its hash, so rare labels don't
+    all go to the first fold.
+    """
     pairs = sample_labels(samples).withColumn("label", F.col("label").cast("string"))
     counts = pairs.groupBy("label").agg(F.count("*").alias("n"))
     rarest = pairs.distinct().join(counts, "label").groupBy("patient_id").agg(F.min(F.struct("n", "label")).alias("m"))
     stratum = F.coalesce(F.col("m.label"), F.lit(""))
     patients = distinct_ids(samples).join(rarest, "patient_id", "left").select("patient_id", stratum.alias("stratum"))
     ranked = hash_rank(patients, ["patient_id"], ["stratum"], seed)
-    return ranked.select("patient_id", "stratum", F.pmod(F.col("rank") - 1, F.lit(folds)).cast("int").alias("fold"))
+    start = F.conv(F.substring(F.md5(F.col("stratum").cast("binary")), 1, 6), 16, 10).cast("long")
+    return ranked.select("patient_id", "stratum", F.pmod(F.col("rank") - 1 + start, F.lit(folds)).cast("int").alias("fold"))
 
 
 def balance_1_1(df: DataFrame, keys: list[str], label: str = "labels") -> DataFrame:
