@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.batches import prefix_sums, raw, slices, span_hashes
+from wardline.llm.batches import mix, prefix_sums, raw, slices, span_hashes
 from wardline.session import cut_lineage
 
 BLOCK_BYTES = 1 << 20
@@ -150,7 +150,8 @@ def segments(units: Units, search: Search) -> Segments:
     new[1:] &= ~whole[:-1] | (low[1:] != low[:-1])
     start = np.flatnonzero(new)
     windows = np.add.reduceat(whole.astype(np.int64), start) if len(start) else none
-    anchor, body = grams[low[start]], span_hashes(sums, start, start + windows - 1 + length)
+    # smallest hashes crowd near zero; mixed again, anchors spread evenly over the buckets
+    anchor, body = mix(grams[low[start]]), span_hashes(sums, start, start + windows - 1 + length)
     where = start - units.bounds[text[start]]
     order = np.lexsort((where, units.ids[text[start]], body, anchor))
     a, b = anchor[order], body[order]
