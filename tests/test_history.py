@@ -57,6 +57,19 @@ def test_history_before_equals_plain_rendering(world, inclusive):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_only_records_before_the_last_cut_are_rendered(world):
+    events, stays, lines, encounters = world
+    some = encounters.where("encounter_id like '%-1'").withColumn("cut", F.col("end"))
+    days = H.patient_days(H.lines_until(lines, some), ("condition", "procedure"), some)
+    got = {r.encounter_id: r.history for r in H.history_before(some.join(days, "patient_id"), ("condition", "procedure")).collect()}
+    want = {e: expected_history(events[p], None, end, False) for p, e, _, end in stays if e.endswith("-1")}
+    assert got == {k: v for k, v in want.items() if v}
+    last = some.groupBy("patient_id").agg(F.to_date(F.max("cut")).alias("last"))
+    each = days.select("patient_id", F.inline("_days")).join(last, "patient_id")
+    assert each.where("day > last").count() == 0
+    assert each.where("entries is not null").count() <= some.count()
+
+
 def test_history_during_equals_plain_rendering(world):
     events, stays, lines, encounters = world
     got = {r.encounter_id: r.history for r in H.history_during(encounters, lines, ["patient_id", "encounter_id"]).collect()}

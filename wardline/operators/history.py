@@ -151,12 +151,19 @@ def history_during(stays: DataFrame, lines: DataFrame, keys: list[str]) -> DataF
     return history_texts(day_texts(rows, keys), keys)
 
 
-def patient_days(lines: DataFrame, resources: tuple[str, ...]) -> DataFrame:
+def lines_until(lines: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The lines up to the last cut of their patient; patients without a cut drop out."""
+    need = cuts.groupBy("patient_id").agg(F.max("cut").alias("_until"))
+    return lines.join(need, "patient_id").where(F.col("ts") <= F.col("_until")).drop("_until")
+
+
+def patient_days(lines: DataFrame, resources: tuple[str, ...], cuts: DataFrame | None = None) -> DataFrame:
     """One row per patient: calendar days, newest first, each rendered once.
 
     Copies are counted before the first shuffle. A day keeps its entries with
     their times beside the finished text, so the part of a day before a time
-    of day can be rendered from the same row.
+    of day can be rendered from the same row; with ``cuts`` only the days on
+    which a cut of the patient lies keep them.
     """
     counted = (
         lines.groupBy("patient_id", F.to_date("ts").alias("day"), "resource", "line", "ts", "icd_version")
@@ -168,12 +175,16 @@ def patient_days(lines: DataFrame, resources: tuple[str, ...]) -> DataFrame:
     )
     entry = F.struct("resource", F.col("times")[0]["ts"].alias("first_ts"), "line", "times")
     per_day = per_line.groupBy("patient_id", "day").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    per_day = per_day.withColumn("_cut_day", F.lit(True))
+    if cuts is not None:
+        cut_days = cuts.select("patient_id", F.to_date("cut").alias("day"), F.lit(True).alias("_cut_day")).distinct()
+        per_day = per_day.drop("_cut_day").join(cut_days, ["patient_id", "day"], "left")
     rendered = per_day.select(
         "patient_id",
         "day",
         render_day(F.col("day"), F.col("entries"), resources).alias("text"),
         newest_condition(F.col("entries")).alias("icd"),
-        "entries",
+        F.when(F.col("_cut_day"), F.col("entries")).alias("entries"),
     )
     return rendered.groupBy("patient_id").agg(
         F.sort_array(F.collect_list(F.struct("day", "text", "icd", "entries")), asc=False).alias("_days")
