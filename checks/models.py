@@ -277,8 +277,6 @@ LIVE_SQL = TB04.replace("FROM encounter e JOIN patient", "FROM current e JOIN pa
 )
 def _(v):
     now = F.lit(LIVE).cast("timestamp")
-    task = T.ds_readmission()
-    task = type(task)(**{**task.__dict__, "output": (*task.output, ("cut", "sample_start"))})
-    records, _rejected = L.live_run(v.tables, task, length_scorer, "m1", now)
+    records, _rejected = L.live_run(v.tables, T.ds_readmission(), length_scorer, "m1", now)
     coding = F.get(F.get("prediction", F.lit(0))["qualitativeRisk"]["coding"], F.lit(0))
     return records.select(F.col("subject.reference").alias("subject"), coding["code"].alias("outcome"))

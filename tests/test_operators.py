@@ -9,6 +9,7 @@ from wardline.operators import metrics as M
 from wardline.operators import rows as R
 from wardline.operators import splits as S
 from wardline.operators import validate as V
+from wardline.operators.risk import history_references
 from wardline.operators.skew import hot_keys, salted_join
 
 
@@ -171,3 +172,11 @@ def test_predictions_of_unseen_labels_count(spark):
     assert {(r.label, r.tp, r.fp, r.fn) for r in class_counts(rows).collect()} == {("a", 2, 0, 0), ("x", 0, 1, 0), ("y", 0, 1, 0)}
     known = spark.createDataFrame([("a",), ("b",)], "label string")
     assert {(r.label, r.tp, r.fp, r.fn) for r in class_counts(rows, classes=known).collect()} == {("a", 2, 0, 0), ("b", 0, 0, 0)}
+
+
+def test_references_read_dated_blocks_and_lines(spark):
+    text = "age\t40\n\nPatient journey:\n2020-03-01:\nlate\n2020-01-02:\n2x a, b\nc: d\n2020-01-02:\n\ne\n2020-01-01: f\nundated"
+    row = spark.createDataFrame([(text, "p")], "text string, p string")
+    refs = history_references(F.col("text"), F.col("p"), F.lit("2020-02-01 00:00:00+00:00"), "Condition")
+    got = [r.display for r in row.select(F.inline(refs)).collect()]
+    assert got == ["2x a, b on 2020-01-02", "c: d on 2020-01-02", "e on 2020-01-02", "f on 2020-01-01"]

@@ -27,19 +27,25 @@ OUTCOMES = {
     "ds_mortality": Outcome("mortality", "Predicted Mortality Risk", "Encounter"),
 }
 OTHER = Outcome("unknown", "Prediction", "Observation")
-HISTORY_HEAD = "Patient history:"
+HISTORY = r"(?s)(?:^|\n)Patient (?:history|journey):[^\n]*\n(.*)"
+DATED = r"(?sm)^(\d{4}-\d{2}-\d{2}):(.*?)(?=\n\d{4}-\d{2}-\d{2}:|\z)"
 
 
 def history_references(text: Column, patient_id: Column, cut: Column, basis: str) -> Column:
-    """References to the ``date:value`` lines of a history dated up to the cut."""
-    lines = F.split(F.regexp_extract(text, rf"(?s)(?:^|\n){HISTORY_HEAD}[^\n]*\n(.*)", 1), "\n", -1)
+    """References to the entries of a history or journey dated up to the cut.
 
-    def entry(line):
-        at = F.substring_index(line, ":", 1)
-        value = strip(F.substr(line, F.length(at) + 2))
-        return F.struct(at.alias("at"), value.alias("value"))
+    A line ``date: value`` is one entry; below a line ``date:`` each line up
+    to the next date is one.
+    """
+    history = F.regexp_extract(text, HISTORY, 1)
+
+    def entries(at, told):
+        lines = F.split(told, "\n", -1)
+        own = F.when(F.length(strip(F.get(lines, F.lit(0)))) > 0, F.slice(lines, 1, 1)).otherwise(lines)
+        return F.transform(own, lambda x: F.struct(at.alias("at"), strip(x).alias("value")))
 
-    dated = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), entry)
+    blocks = (F.regexp_extract_all(history, F.lit(DATED), F.lit(group)) for group in (1, 2))
+    dated = F.flatten(F.zip_with(*blocks, entries))
     told = F.filter(dated, lambda e: (e["at"] <= cut) & (F.length(e["value"]) > 0))
 
     def reference(e):

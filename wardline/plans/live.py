@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +43,16 @@ def score_and_record(
     return risk_assessment(accepted, task, model, now), rejected
 
 
+def with_cut(task: Task) -> Task:
+    """The task with its cut as ``sample_start``, which every record needs."""
+    if "sample_start" in (name for _, name in task.output):
+        return task
+    return replace(task, output=(*task.output, ("cut", "sample_start")))
+
+
 def live_run(
     tables: dict[str, DataFrame], task: Task, load: Callable, model: str, now: Column, cutoff: float | None = 0.5
 ) -> tuple[DataFrame, DataFrame]:
     """Samples of ongoing stays, scored and turned into records."""
     current = {**tables, "encounter": ongoing_encounters(tables["encounter"], now)}
-    return score_and_record(build_samples(current, task), load, task.name, model, now, cutoff)
+    return score_and_record(build_samples(current, with_cut(task)), load, task.name, model, now, cutoff)
