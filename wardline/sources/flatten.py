@@ -18,17 +18,19 @@ CONCEPT = f"struct<coding:array<{CODING}>,text:string>"
 REF = "struct<reference:string>"
 PERIOD = "struct<start:string,end:string>"
 
-# Identifier system, code system and extension urls of the records.
+# Fixed value: identifier system of study uids.
 DICOM_UID = "urn:dicom:uid"
-PRODUCT_KIND = "https://uk-essen.de/LAB/Nexus/Swisslab/KONSERVE/KONSART"
-PRODUCT_OUTPUT = "https://uk-essen.de/LAB/Nexus/Swisslab/KONSERVE/AUSGABEAN"
-PRODUCT_USE = "https://uk-essen.de/LAB/Nexus/Swisslab/KONSERVE/VERBRAUCH"
-TUMOR_CERT = "https://uk-essen.de/HIS/Cerner/Medico/TumorDocumentation/Onkozert"
-TUMOR_PRIMARY = "https://uk-essen.de/HIS/Cerner/Medico/TumorDocumentation/Primärfall"
-TUMOR_YEAR = "https://uk-essen.de/HIS/Cerner/Medico/TumorDocumentation/Primärfalljahr"
-TUMOR_FIRST_DATE = "http://uk-koeln.de/fhir/StructureDefinition/Extension/nNGM/Erstdiagnose"
-TUMOR_ID = "https://uk-essen.de/HIS/Cerner/Medico/TumorDocumentation/TumorIdentifier"
-TUMOR_FORM = "https://uk-essen.de/HIS/Cerner/Medico/TumorDocumentation/TumorIdentifier/Bogen"
+
+# Code systems and extension urls differ by site: neutral examples, replaced by the ``urls`` of a flattener.
+PRODUCT_KIND = "urn:example:product:kind"
+PRODUCT_OUTPUT = "urn:example:product:output"
+PRODUCT_USE = "urn:example:product:use"
+TUMOR_CERT = "urn:example:tumor:cert"
+TUMOR_PRIMARY = "urn:example:tumor:primary-case"
+TUMOR_YEAR = "urn:example:tumor:primary-year"
+TUMOR_FIRST_DATE = "urn:example:tumor:first-diagnosis"
+TUMOR_ID = "urn:example:tumor:identifier"
+TUMOR_FORM = "urn:example:tumor:form"
 
 SCHEMAS = {
     "Encounter": (
@@ -107,6 +109,10 @@ def _codings(concepts: Column) -> Column:
     return F.flatten(F.filter(F.transform(concepts, lambda c: c["coding"]), lambda c: c.isNotNull()))
 
 
+def _site(urls: dict[str, str] | None):
+    return lambda url: (urls or {}).get(url, url)
+
+
 def flatten_encounter(df: DataFrame) -> DataFrame:
     participant = _first(F.col("participant"))
     role = _first(_codings(participant["type"]))
@@ -263,18 +269,19 @@ def flatten_diagnostic_report(df: DataFrame) -> DataFrame:
     )
 
 
-def flatten_episode_of_care(df: DataFrame) -> DataFrame:
-    extensions = F.col("extension")
-    form = extension_value(extension_value(extensions, TUMOR_ID, "extension"), TUMOR_FORM)
+def flatten_episode_of_care(df: DataFrame, urls: dict[str, str] | None = None) -> DataFrame:
+    """Episodes with their tumour extensions; ``urls`` maps the example urls to a site's own."""
+    extensions, site = F.col("extension"), _site(urls)
+    form = extension_value(extension_value(extensions, site(TUMOR_ID), "extension"), site(TUMOR_FORM))
     return parsed(df, "EpisodeOfCare").select(
         "id",
         to_utc(F.col("period.start")).alias("start"),
         to_utc(F.col("period.end")).alias("end"),
         _ref("patient", "Patient").alias("patient_id"),
-        extension_value(extensions, TUMOR_CERT).alias("cert"),
-        extension_value(extensions, TUMOR_PRIMARY, "valueBoolean").alias("primary_case"),
-        extension_value(extensions, TUMOR_YEAR).alias("primary_year"),
-        extension_value(extensions, TUMOR_FIRST_DATE, "valueDateTime").alias("first_diagnosis_date"),
+        extension_value(extensions, site(TUMOR_CERT)).alias("cert"),
+        extension_value(extensions, site(TUMOR_PRIMARY), "valueBoolean").alias("primary_case"),
+        extension_value(extensions, site(TUMOR_YEAR)).alias("primary_year"),
+        extension_value(extensions, site(TUMOR_FIRST_DATE), "valueDateTime").alias("first_diagnosis_date"),
         form.alias("treatment_program"),
     )
 
@@ -317,17 +324,21 @@ def join_requests(products: DataFrame, requests: DataFrame) -> DataFrame:
     return products.join(requests, "service_request_id", "left")
 
 
-def flatten_bdp(df: DataFrame) -> DataFrame:
-    """Blood products with the patient and the requester of their request."""
-    kind = code_in_system(F.col("productCode.coding"), PRODUCT_KIND)
+def flatten_bdp(df: DataFrame, urls: dict[str, str] | None = None) -> DataFrame:
+    """Blood products with the patient and the requester of their request.
+
+    ``urls`` maps the example urls to a site's own.
+    """
+    site = _site(urls)
+    kind = code_in_system(F.col("productCode.coding"), site(PRODUCT_KIND))
     products = parsed(df, "BiologicallyDerivedProduct").select(
         F.col("id").alias("bdp_id"),
         extract_id(_first(F.col("request"))["reference"]).alias("service_request_id"),
         to_utc(_first(F.col("storage"))["duration"]["end"]).alias("ausgabe_datetime"),
-        extension_value(F.col("extension"), PRODUCT_USE).alias("ausgabe_type"),
+        extension_value(F.col("extension"), site(PRODUCT_USE)).alias("ausgabe_type"),
         kind["code"].alias("code"),
         kind["display"].alias("display"),
-        extension_value(F.col("extension"), PRODUCT_OUTPUT).alias("output_to"),
+        extension_value(F.col("extension"), site(PRODUCT_OUTPUT)).alias("output_to"),
     )
     both = F.size("requester.extension") > 1
     requests = parsed(df, "ServiceRequest").select(
