@@ -75,3 +75,26 @@ def strip_bytes(docs, length=100):
                 gone[i : i + length] = b"\1" * length
         out[d] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), sha(bytes(x for x, g in zip(b, gone) if not g)))
     return out
+
+
+def strip_rows(rows, length, size, same_text=False):
+    """[units removed] of each (id, text) row; rows may share an id, and a null id is the largest.
+
+    ``size`` is 1 for bytes; otherwise units are words.
+    """
+    units = [(t or "").encode() if size == 1 else words_of(t) for _, t in rows]
+    rank = [(d is None, d or 0) for d, _ in rows]
+    first, places = {}, []
+    for r, u in zip(rank, units):
+        mine = [(bytes(u[i : i + length]) if size == 1 else tuple(u[i : i + length]), (r, i if same_text else 0)) for i in range(len(u) - length + 1)]
+        places.append(mine)
+        for k, at in mine:
+            first[k] = min(first.get(k, at), at)
+    out = []
+    for u, mine in zip(units, places):
+        gone = [False] * len(u)
+        for i, (k, at) in enumerate(mine):
+            if first[k] < at:
+                gone[i : i + length] = [True] * length
+        out.append(sum(gone))
+    return out

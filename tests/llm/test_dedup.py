@@ -80,3 +80,34 @@ def test_repeats_keep_columns_and_white_space(make):
     assert [(s.start, s.end) for s in got[2].spans] == [(2, 22)]
     assert got[1].n_removed == 0 and got[3].text is None and got[None].text == "" and got[1].n_words == 22
     assert remove_repeated_words(make([])).count() == 0 and remove_repeated_bytes(make([])).count() == 0
+
+
+@pytest.fixture(scope="module")
+def twins(spark):
+    """Rows that share an id or have none, with passages of smaller ids, on 16 blocks."""
+    rng = random.Random(11)
+    passages = [words(rng, n, 10_000) for n in (14, 15, 20, 40, 60)]
+    rows = [(k, " ".join(words(rng, 6, 10_000) + p + words(rng, 6, 10_000))) for k, p in enumerate(passages)]
+    for d in (50, 51, None):
+        for p in passages:
+            text = " ".join(words(rng, 8, 10_000) + p + words(rng, 8, 10_000))
+            rows += [(d, text)] * 3 + [(d, text + " tail"), (d, "head of it " + text)]
+    rows += [(60 + k, " ".join(words(rng, 3, 10_000) + passages[4][k:] + words(rng, 3, 10_000))) for k in range(20)]
+    rows += [(90, "ab" * 200), (90, "ab" * 200), (None, "ab" * 300)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame([(k, d, t) for k, (d, t) in enumerate(rows)], "row int, doc_id long, text string")
+    return table.repartitionByRange(16, "row"), rows
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 512])
+def test_rows_of_one_id_lose_the_same_words(twins, crowd):
+    docs, rows = twins
+    got = {r.row: r.n_removed for r in remove_repeated_words(docs, crowd=crowd).collect()}
+    assert [got[k] for k in range(len(rows))] == brute.strip_rows(rows, 13, 8)
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 512])
+def test_rows_of_one_id_lose_the_same_bytes(twins, crowd):
+    docs, rows = twins
+    got = {r.row: r.n_removed for r in remove_repeated_bytes(docs, length=60, crowd=crowd).collect()}
+    assert [got[k] for k in range(len(rows))] == brute.strip_rows(rows, 60, 1, same_text=True)

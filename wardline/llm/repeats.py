@@ -12,10 +12,11 @@ the question for each window is whether its string also starts earlier.
   anchors with one segment are settled. A frequent passage sends one entry per
   block, however many documents hold it.
 * Where an anchor has several different segments (the edges of repeated
-  passages), the first copy of each sends its units to the anchor's bucket,
-  where a matcher compares their windows. Anchors with more than ``CROWD``
-  segments send the distinct windows of each block by window hash instead, so
-  no crowd meets in one task.
+  passages), the first copy of each (from each block, where rows share its id)
+  sends its units to the anchor's bucket, where a matcher compares their
+  windows. Anchors with more than ``CROWD`` such pieces send the distinct
+  windows of each block by window hash instead, so no crowd of pieces meets in
+  one task.
 * Answers go back to the blocks, which then know every repeated window.
 
 Everything that grows with the input is a shuffled table: buckets are as many
@@ -182,8 +183,12 @@ def _rows(found: list[tuple], names: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)] if found else [[]] * len(schema), schema=schema)
 
 
-def _firsts(rows, crowd: int | None):
-    """Answers to distinct (key, body) entries: the first place of each body, and what to send."""
+def _firsts(rows, crowd: int | None, same_text: bool):
+    """Answers to distinct (key, body) entries: the first place of each body, and what to send.
+
+    Entries of other blocks as early as the first (rows may share an id) send what it sends: no other
+    answer judges their windows.
+    """
     blocks = [r[0] for r in rows]
     parts = [unpack(r[1]) for r in rows]
     source = np.repeat(np.arange(len(parts)), [p.num_rows for p in parts])
@@ -196,11 +201,14 @@ def _firsts(rows, crowd: int | None):
     head[1:] |= body[1:] != body[:-1]
     rep = np.flatnonzero(head)[np.cumsum(head) - 1]
     group_no = np.cumsum(group) - 1
-    bodies = np.bincount(group_no, weights=head).astype(np.int64)[group_no]
     todo = np.zeros(len(key), dtype=np.int8)
     if crowd is not None:
-        todo[head & (bodies > 1)] = SEND_PIECE
-        todo[head & (bodies > crowd)] = SEND_WINDOWS
+        early = doc == doc[rep]
+        if same_text:
+            early &= where == where[rep]
+        bodies, pieces = (np.bincount(group_no, weights=x).astype(np.int64)[group_no] for x in (head, early))
+        todo[early & (bodies > 1)] = SEND_PIECE
+        todo[early & (bodies > 1) & (pieces > crowd)] = SEND_WINDOWS
     told = np.flatnonzero((todo > 0) | ~head)
     told = told[np.argsort(source[told], kind="stable")]
     cuts = np.searchsorted(source[told], np.arange(len(parts) + 1))
@@ -248,7 +256,7 @@ def _answers(search: Search):
         for kind in np.unique(kinds):
             part = table.filter(pa.array(kinds == kind))
             rows = list(zip(part.column("block").to_pylist(), part.column("payload").to_pylist(), strict=True))
-            found += [(b, int(kind), p) for b, p in (_matched(rows, search) if kind == PIECES else _firsts(rows, None if kind == WINDOWS else search.crowd))]
+            found += [(b, int(kind), p) for b, p in (_matched(rows, search) if kind == PIECES else _firsts(rows, None if kind == WINDOWS else search.crowd, search.same_text))]
         return _rows(found, _ANSWER)
 
     return run
