@@ -19,10 +19,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, toxicity.toxicity_model(docs, table(spark, sf_dir, "labels")))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, stored with a number of each row, and the number's column.
+
+    The ids can be null or shared; the stages judge rows by their numbers.
+    """
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies one row stays, that with the smallest id; a null id counts as the largest."""
+    rows, row = _numbered(docs)
+    later = cut_lineage(neardup.near_duplicates(rows, id_col=row).where("not kept").select(row, "component_id"))
+    members = later.union(later.select("component_id", "component_id").distinct())
+    members = cut_lineage(members.join(rows.select(row, "doc_id"), row))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", row))[row].alias("first"))
+    gone = members.join(first, "component_id").where(F.col(row) != F.col("first")).select(row)
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +50,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
-    pairs = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold an item of the benchmark go, whatever their id."""
+    rows, row = _numbered(docs)
+    pairs = decontaminate.contained_items(rows, table(spark, sf_dir, "benchmark"), id_col=row)
+    return rows.join(pairs.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -217,7 +217,10 @@ def near_duplicates(
 
     candidates = met.select("id").distinct()
     sets = cut_lineage(texts.join(candidates, "id", "left_semi").mapInArrow(_sets(size), "id long, members binary").distinct())
-    links = cut_lineage(_verified(star, sets, percent))
+    # rows of one id are one document, so their classes are linked
+    ends = cut_lineage(member.groupBy("id").agg(F.min("head").alias("src"), F.max("head").alias("last")).where("src != last").select("id", "src"))
+    same = ends.join(member, "id").where("src != head").select("src", F.col("head").alias("dst")).distinct()
+    links = cut_lineage(_verified(star, sets, percent).select("src", "dst").unionByName(same).distinct())
     groups = cut_lineage(connected_components(links))
 
     # classes that met in a band, but are not in one group yet, are compared across groups
