@@ -43,10 +43,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 13 words and more that a document with a smaller id holds go; n_chars follows the text."""
-    kept = substrings.remove_repeated_words(docs)
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
+    read = ("doc_id", "text")
+    others = [c for c in docs.columns if c not in read]  # packed, as the operator adds columns of its own
+    own = [F.struct(*(F.col(f"`{c}`") for c in others)).alias("own")] if others else []
+    kept = substrings.remove_repeated_words(docs.select(*read, *own))
+    columns = {c: F.col(c) if c in read else F.col("own").getField(c) for c in docs.columns}
+    if "n_chars" in others:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(x.alias(c) for c, x in columns.items()))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
