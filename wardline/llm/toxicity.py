@@ -113,7 +113,8 @@ def toxicity_model(
 
     The sample is cut into shards of about ``shard_rows`` texts by the hash of
     the ids. Each shard runs FTRL in a task of its own; the model is the mean
-    of their sparse weights. Without labelled rows the score is about 0.
+    of their sparse weights. Without labelled rows the score is about 0. More
+    than ``MOST_WEIGHTS`` weights are an error; none are cut.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -140,16 +141,18 @@ def toxicity_model(
     rows = cut_lineage(training_rows(docs, labels, label, sample, id_col, text_col))
     shards = max(1, -(-rows.count() // shard_rows))
     rows = rows.withColumn("order", F.xxhash64(F.lit(1), "id")).withColumn("shard", F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(shards)))
-    found = rows.groupBy("shard").applyInArrow(run, "key long, weight double")
-    means = found.groupBy("key").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")).orderBy(F.abs("weight").desc(), "key").limit(MOST_WEIGHTS + 1)
-    got = means.toArrow()  # at most MOST_WEIGHTS + 1 rows of 24 bytes
-    key, weight, n = (got.column(c).to_numpy() for c in ("key", "weight", "n"))
-    if not (key == -1).any():
+    found = cut_lineage(rows.groupBy("shard").applyInArrow(run, "key long, weight double"))
+    biases = found.where("key = -1").agg(F.sum("weight"), F.count("*")).first()
+    trained = biases[1]
+    if not trained:
         return Weights(np.zeros(0, dtype=_U), np.zeros(0), -35.0)
-    trained = int(n[key == -1][0])
-    bias, some = float(weight[key == -1][0]) / trained, np.flatnonzero(key != -1)
-    some = some[np.argsort(key[some])]
-    return Weights(key[some].view(_U), weight[some] / trained, bias)
+    sums = found.where("key != -1").groupBy("key").agg(F.sum("weight").alias("weight"))
+    got = sums.limit(MOST_WEIGHTS + 1).toArrow()  # rows of 16 bytes
+    if got.num_rows > MOST_WEIGHTS:
+        raise ValueError(f"the toxicity model has more than {MOST_WEIGHTS} weights: raise MOST_WEIGHTS or L1, or take a smaller sample")
+    key, weight = (got.column(c).to_numpy() for c in ("key", "weight"))
+    order = np.argsort(key)
+    return Weights(key[order].view(_U), weight[order] / trained, float(biases[0]) / trained)
 
 
 def toxicity_scores(docs: DataFrame, model: Weights, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
