@@ -1,4 +1,4 @@
-"""Removal of long repeated passages: by words (relative Lempel-Ziv) and by bytes (longest previous factors)."""
+"""Removal of long repeated passages: by words and by bytes."""
 
 from __future__ import annotations
 
@@ -31,14 +31,12 @@ def _byte_units(rows: pa.RecordBatch, text_col: str, id_col: str) -> Units:
 
 
 def relative_factors(length: int):
-    """Matcher for the words of one reference block: pieces with equal anchors.
-
-    The windows of all pieces are indexed with the smallest document that
-    holds them. A piece is then factored from left to right: a factor goes on
-    while the window that ends with the next word is also found in a smaller
-    document, so a factor of m words is a run of m - length + 1 found
-    windows. The windows across a factor's boundary are looked up like all
-    others, so a passage whose parts come from different documents is found.
+    """Matcher for the words of pieces with equal anchors: no relative Lempel-Ziv parse, window hashes replace it.
+
+    All windows of ``length`` words are sorted by their hash, and one is found
+    if a smaller document holds the hash. Removal only asks this of each window,
+    so no factors are built; windows over the bounds of what would be factors
+    are looked up like all others.
     """
 
     def match(codes, key, start, doc, where):
