@@ -63,13 +63,12 @@ def _ranks(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def previous_factors(length: int):
-    """Matcher for bytes: is the longest previous factor at each start ``length`` or longer?
+    """Matcher for bytes: does the string of ``length`` bytes at each start also start earlier?
 
-    The starts of the pieces are put into suffix order (by their first
-    ``length`` bytes, which is all the question needs). A start has an earlier
-    occurrence of its string if the previous smaller or the next smaller
-    position in suffix order shares ``length`` bytes with it. Starts whose
-    string is not repeated at all are taken out before by its hash.
+    No longest-previous-factor array is built. The strings of the starts are
+    sorted by their bytes, and one is found if its run of equal strings has a
+    smaller place. Starts whose string is not repeated at all are taken out
+    before by its hash.
     """
     width = -(-length // 8)
 
@@ -91,7 +90,7 @@ def previous_factors(length: int):
         run = np.ones(len(order), dtype=bool)
         run[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)  # the common prefix ends before ``length``
         smallest = np.minimum.reduceat(place, np.flatnonzero(run))[np.cumsum(run) - 1]
-        out[some[order]] = smallest < place  # a previous or next smaller position in the run
+        out[some[order]] = smallest < place
         return out
 
     return match
