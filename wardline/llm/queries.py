@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, decontaminate, lines, neardup, packing, quality, substrings, tokens, toxicity
+from wardline.llm import chat, decontaminate, lines, middles, neardup, packing, quality, spellings, substrings, tokens, toxicity, warc
+from wardline.session import scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -80,11 +81,29 @@ def op10_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_warc(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    cut = middles.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = middles.restored(F.col("output"), F.col("form"))
+    hashes = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *hashes)
+
+
+def op13_spellings(spark, sf_dir):
+    return spellings.spelling_forms(spellings.vocabulary(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_duplicates, op2_chat_format, op3_quality, op4_toxicity, op5_token_counts,
         op6_line_rules, op7_best_fit_packing, op8_repeated_words, op9_repeated_bytes, op10_decontaminate,
+        op11_warc, op12_fill_in_middle, op13_spellings,
     )
 }
 
@@ -141,5 +160,24 @@ shared as (
 ), hits as (select doc_id, list(item_id order by item_id) as item_ids from shared join sizes using (item_id) where 100 * c >= 80 * n group by 1)
 select d.doc_id, coalesce(len(h.item_ids), 0)::bigint as n_items, coalesce(h.item_ids, []::bigint[]) as item_ids, h.item_ids is null as kept
 from documents d left join hits h using (doc_id)
+""",
+    "op11_warc": """
+with read as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
+first as (select html, min(page_id) as low from read group by html)
+select page_id, strlen(html)::bigint as payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31)::int, 1) for i in range(0, 32)], '') as payload_digest,
+  case when page_id = low then 'response' else 'revisit' end as record_type, case when page_id <> low then low end as refers_to
+from read join first using (html)
+""",
+    "op12_fill_in_middle": """
+with read as (select doc_id, coalesce(text, '') as t, sha256('1:' || doc_id) as h from documents),
+sized as (select *, length(t) as n, [('0x' || substr(h, 8 * i + 1, 8))::bigint for i in range(0, 4)] as v from read),
+cut as (select *, least(v[1] % (n + 1), v[2] % (n + 1)) as a, greatest(v[1] % (n + 1), v[2] % (n + 1)) as b,
+  case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or v[3] % 100 >= 90 then 'plain' when v[4] % 100 < 20 then 'spm' else 'psm' end as form from sized),
+parts as (select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from cut)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(t) as restored_sha256
+from parts
 """,
 }
