@@ -14,7 +14,7 @@ from wardline.session import cut_lineage, scratch_path
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
 UPPER = "".join(map(chr, range(65, 91)))
-#: words beyond this length do not walk, see ``_long_pairs``
+#: words beyond this length do not walk, see ``_long_pairs``; 64 at most
 DEEPEST = 64
 STATE = "side int, s string, at int, node long, edits int"
 
@@ -56,8 +56,8 @@ def spelling_forms(words: DataFrame, ratio: int = 10, deepest: int = DEEPEST) ->
     near the empty word; repeated words and null words must not occur; an
     empty table gives an empty result; further columns are ignored.
     """
-    if ratio < 2:
-        raise ValueError("forms must be more frequent than their variants")
+    if ratio < 2 or deepest > 64:
+        raise ValueError("ratio is 2 at least, deepest 64 at most")
     words = cut_lineage(words.select("word", F.col("n").cast("long").alias("n")))
     counts = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     pairs = near_words(words.select("word"), deepest).join(counts, "near")
@@ -79,8 +79,8 @@ def near_words(words: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """(word, near): all ordered pairs of distinct words that one edit apart, each once.
 
     The words, and the words read backwards, make two tries; a row of the
-    edge table is (level, node, letter, child), a node being the hash of the
-    letters to it. A state (word, position, node, edits) stands at a node of
+    edge table is (level, node, letter, child) and what goes on below, a node
+    being the hash of the letters to it. A state (word, position, node, edits) stands at a node of
     the level in turn, and a join with the edges of that level moves all of
     them on: along the word's next letter, or, once, along another letter
     (replaced), along one that the word lacks (inserted) or past a letter of
@@ -102,9 +102,7 @@ def near_words(words: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     least, longest = lengths
     sided = words.where(F.length("word") <= deepest).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
     sided = sided.select("side", F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word")).alias("s"))
-    edges = sided.withColumn("level", F.explode(F.expr(f"sequence({least // 2}, greatest(length(s), {least // 2}))"))).where("level < length(s)")
-    edges = edges.selectExpr("level", "xxhash64(side, left(s, level)) as node", "substring(s, level + 1, 1) as letter", "xxhash64(side, left(s, level + 1)) as child")
-    edges = cut_lineage(edges.distinct().sortWithinPartitions("level"))
+    edges = _edges(sided, least // 2)
 
     walk, folders, states = scratch_path(words.sparkSession, "walk"), [], None
     for level in range(least // 2, min(longest, deepest) + 2):
@@ -124,16 +122,50 @@ def near_words(words: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     return pairs.distinct()
 
 
+def _letter(at: str) -> str:
+    """Code of the letter at a place, 0 beyond the end."""
+    return f"ascii(substring(s, {at} + 1, 1))"
+
+
+def _bit(letter: str) -> str:
+    """A letter as one of 64 bits; different letters may share it."""
+    return f"shiftleft(1L, {letter} & 63)"
+
+
+def _edges(sided: DataFrame, first: int) -> DataFrame:
+    """(level, node, letter, child, lengths, next1, next2): the tries below their first levels.
+
+    The last three are sets of bits over the words through the edge: how many
+    letters they have left, and which letter (or end) comes next and after
+    that. A state that they rule out is not moved.
+    """
+    places = F.explode(F.sequence(F.lit(first), F.greatest(F.length("s"), F.lit(first)))).alias("level")
+    keys = ("level", "xxhash64(side, left(s, level)) as node", f"{_letter('level')} as letter", "xxhash64(side, left(s, level + 1)) as child")
+    sets = ("shiftleft(1L, length(s) - level - 1) as lengths", *(f"{_bit(_letter(f'level + {k}'))} as next{k}" for k in (1, 2)))
+    rows = sided.select("side", "s", places).where("level < length(s)").selectExpr(*keys, *sets)
+    edges = rows.groupBy("level", "node", "letter", "child").agg(*(F.bit_or(c).alias(c) for c in ("lengths", "next1", "next2")))
+    return cut_lineage(edges.sortWithinPartitions("level"))
+
+
 def _moved(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states after one edge. Of the same letters in a row only the last is deleted or followed by one more."""
-    same = "letter = substring(s, at + 1, 1)"
-    moves = f"""filter(array(
-      if({same}, named_struct('at', at + 1, 'edits', edits), null),
-      if(not {same} and at < length(s), named_struct('at', at + 1, 'edits', 1), null),
-      if(not {same}, named_struct('at', at, 'edits', 1), null),
-      if(not {same} and letter = substring(s, at + 2, 1), named_struct('at', at + 2, 'edits', 1), null)), x -> x is not null)"""
-    met = states.where("edits = 0 or at < length(s)").join(edges, "node").where(f"edits = 0 or {same}")
-    return met.select("side", "s", "child", F.explode(F.expr(moves)).alias("to")).selectExpr("side", "s", "to.at as at", "child as node", "to.edits as edits")
+    """The states after one edge, as far as words go on from there.
+
+    The word advances by one letter with the edge's own (also if replaced),
+    by none (inserted) or two (deleted). Of the same letters in a row only the
+    last is deleted or followed by one more. The join itself compares bits of
+    all these cases at once, the few rows that it leaves are looked at singly.
+    """
+    read = states.where("edits = 0 or at < length(s)")
+    read = read.selectExpr("*", "length(s) - at as rest", *(f"{_letter(f'at + {k}')} as c{k}" for k in range(3)))
+    ahead = f"if(edits = 1, {_bit('c1')}, {_bit('c0')} | {_bit('c1')} | {_bit('c2')}) as ahead"
+    left = "if(edits = 1, shiftleft(1L, rest - 1), shiftleft(1L, rest) | shiftleft(1L, greatest(rest - 1, 0)) | shiftleft(1L, greatest(rest - 2, 0))) as left"
+    met = read.selectExpr("side", "s", "at", "node", "edits", "c0", "c1", ahead, left).join(edges, "node")
+    met = met.where("(edits = 0 or letter = c0) and (lengths & left) <> 0 and (next1 & ahead) <> 0")
+    steps = "explode(if(letter = c0, array(1), if(letter = c1, array(0, 1, 2), array(0, 1)))) as step"
+    met = met.selectExpr("side", "s", "at", "child as node", "if(letter = c0, edits, 1) as edits", "lengths", "next1", "next2", steps)
+    met = met.selectExpr("side", "s", "at + step as at", "node", "edits", "lengths", "next1", "next2").where("at <= length(s)")
+    fits = f"(lengths & shiftleft(1L, length(s) - at)) <> 0 and (next1 & {_bit(_letter('at'))}) <> 0 and (next2 & {_bit(_letter('at + 1'))}) <> 0"
+    return met.where(f"edits = 0 or ({fits})").select("side", "s", "at", "node", "edits")
 
 
 def _long_pairs(words: DataFrame) -> DataFrame:
