@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wardline.functions.codes import sha256_id
 from wardline.functions.texts import strip
@@ -114,6 +115,12 @@ def risk_assessment(
     )
 
 
+def record_schema(spark: SparkSession) -> StructType:
+    """Columns of the records."""
+    predictions = "patient_id string, encounter_id string, sample_start timestamp, text string, prediction string, probability double"
+    return risk_assessment(spark.createDataFrame([], predictions), "", "", F.current_timestamp()).schema
+
+
 def publishable(predictions: DataFrame) -> DataFrame:
     """Adds ``reject_reason``: which key a prediction lacks, null when it has all."""
     keys = ("patient_id", "encounter_id", "sample_start")
