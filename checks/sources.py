@@ -79,6 +79,28 @@ def _(v):
     return both.groupBy("resource_type").agg(F.count("*").alias("n"))
 
 
+_LINE = """'{"resourceType":"Bundle","entry":[{"resource":{"resourceType":"Patient","id":"' || c_custkey || '"}},{"resource":{"id":"' || c_name || '"}}]}'"""
+
+
+@check(
+    "src01_rejected_bundles",
+    f"""WITH lines AS (SELECT c_custkey AS k, c_name, {_LINE} AS line FROM customer)
+  SELECT md5(CASE k % 8 WHEN 1 THEN left(line, length(line) - 7) WHEN 2 THEN 'no json ' || k WHEN 3 THEN '{{"resourceType":"Patient","id":"' || k || '"}}' ELSE '' END) AS content,
+    CASE k % 8 WHEN 3 THEN 'not a bundle' WHEN 4 THEN 'empty line' ELSE 'not a JSON object of a bundle''s form' END AS outcome FROM lines WHERE k % 8 IN (1, 2, 3, 4)
+  UNION ALL SELECT md5('{{"id":"' || c_name || '"}}'), 'resource without a type' FROM lines WHERE k % 8 NOT IN (1, 2, 3, 4)
+  UNION ALL SELECT k::VARCHAR, 'Patient' FROM lines WHERE k % 8 NOT IN (1, 2, 3, 4)""",
+)
+def _(v):
+    lines = v.raw("customer").selectExpr("c_custkey as k", f"{_LINE} as line").selectExpr(
+        "case k % 8 when 1 then left(line, length(line) - 7) when 2 then 'no json ' || k when 3 then '{\"resourceType\":\"Patient\",\"id\":\"' || k || '\"}' when 4 then '' else line end as value"
+    )
+    landing, files = scratch_path(v.spark, "landing"), scratch_path(v.spark, "bundles")
+    lines.write.text(files)
+    B.land_bundles(v.spark.read.text(files), landing)
+    rejects = B.rejected(v.spark, landing).select(F.md5("raw").alias("content"), F.col("reason").alias("outcome"))
+    return rejects.union(X.flatten_patient(B.landed(v.spark, landing)).select("patient_id", F.lit("Patient")))
+
+
 @check(
     "src02_flatten_encounter",
     with_views("encounter")

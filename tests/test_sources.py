@@ -1,8 +1,6 @@
 import base64
 import json
 
-import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from wardline.operators import cohort as C
@@ -45,10 +43,35 @@ def test_attachments(spark):
     out = {r.diagnostic_report_id: r for r in D.decode_attachments(X.flatten_diagnostic_report(df)).collect()}
     assert out["inline"].text == "Befund äöü" and not out["inline"].failed
     assert out["linked"].url == "u/word" and out["linked"].text is None
-    assert out["none"].failed
-    two = tagged(spark, report("two", [{"data": data}, {"data": data}]))
-    with pytest.raises(PySparkException):
-        D.decode_attachments(X.flatten_diagnostic_report(two)).collect()
+    assert out["none"].failed and out["none"].failure == "no attachment"
+    bad = tagged(spark, report("two", [{"data": data}, {"data": data}]), report("odd", [{"data": "%%%"}]), report("fine", [{"data": data}]))
+    failed = D.failed_documents(D.decode_attachments(X.flatten_diagnostic_report(bad)))
+    assert {tuple(r) for r in failed.collect()} == {("two", "more than one inline attachment"), ("odd", "inline attachment is not base64")}
+
+
+def test_unreadable_lines_and_entries_are_kept_with_a_reason(spark):
+    good = json.dumps({"resourceType": "Bundle", "entry": [{"resource": {"resourceType": "Patient", "id": "p"}}, {"resource": {"id": "untyped"}}, {"fullUrl": "u"}, None]})
+    lines = [good, good[:-9], "no json", '["a"]', '{"resourceType":"Patient","id":"single"}', "  ", None, '{"resourceType":"Bundle"}', '{"resourceType":"Bundle","entry":{}}', '{"entry":[{"resource":{"resourceType":"Patient","id":"q"}}]}']
+    path = scratch_path(spark, "landing")
+    B.land_bundles(spark.createDataFrame([(x,) for x in lines], "value string"), path)
+    rejects = sorted(((r.raw, r.reason) for r in B.rejected(spark, path).collect()), key=str)
+    form = "not a JSON object of a bundle's form"
+    assert rejects == sorted(
+        [('{"id":"untyped"}', "resource without a type"), (None, "entry without a resource"), *((lines[i], form) for i in (1, 2, 3, 8)), (lines[4], "not a bundle"), (lines[9], "not a bundle"), ("  ", "empty line"), (None, "empty line")],
+        key=str,
+    )
+    assert [r.patient_id for r in X.flatten_patient(B.landed(spark, path)).collect()] == ["p"]
+
+
+def test_a_flattener_reads_its_own_folder(spark, capsys):
+    path = scratch_path(spark, "landing")
+    bundle = {"resourceType": "Bundle", "entry": [{"resource": {"resourceType": k, "id": "x"}} for k in ("Patient", "Condition", "Procedure")]}
+    B.land_bundles(spark.createDataFrame([(json.dumps(bundle),)], "value string"), path)
+    conditions = X.flatten_condition(B.landed(spark, path))
+    assert conditions.count() == 1
+    conditions.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters:" in plan and "= Condition)" in plan.split("PartitionFilters:")[1].split("\n")[0]
 
 
 def test_product_keeps_the_right_code_system(spark):
