@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import check
-from checks.tasks import LINES, NL, TB01, TB02, timeline_sql
+from checks.tasks import ALL, LINES, NL, RESOURCE_VIEWS, TB01, TB02, timeline_sql
 from checks.views import list_sql, ts_sql, with_views
 from wardline.functions.codes import is_label_code
 from wardline.functions.times import days_between, in_window, plus_days
@@ -265,43 +265,35 @@ def _(v):
     return R.in_set(v.patient, v.encounter, "patient_id").select("patient_id", "sex")
 
 
-CP = with_views("encounter", "condition", "procedure_t", more={"tl": timeline_sql(["condition", "procedure"])})
-
-
 @check(
     "jn06_history_bounds",
-    CP
+    with_views("encounter", *RESOURCE_VIEWS, more={"tl": timeline_sql(ALL)})
     + """SELECT encounter_id, count_if(ts < start) AS before_start, count_if(ts <= "end") AS until_end,
   count_if(ts >= start AND ts <= "end") AS during, count_if(ts > "end" AND ts <= "end" + INTERVAL 30 DAY) AS after_end
   FROM encounter e JOIN tl USING (patient_id) GROUP BY 1 HAVING min(ts) <= any_value("end") + INTERVAL 30 DAY""",
 )
 def _(v):
-    lines = H.timeline(v.tables, ("condition", "procedure"))
-    stays = v.encounter.select("patient_id", "encounter_id", "start", "end")
-    days = H.patient_days(lines, ("condition", "procedure"))
-
-    def counted(cut, inclusive):
-        # rows before a cut from the per-patient days: whole days plus the part of the own day
-        day = F.to_date(cut)
-        per_day = F.transform(
-            F.filter("_days", lambda d: d["day"] <= day),
-            lambda d: F.aggregate(
-                F.when(d["day"] < day, d["entries"]).otherwise(H.entries_before(d["entries"], cut, inclusive)),
-                F.lit(0).cast("bigint"),
-                lambda acc, e: acc + F.aggregate(e["times"], F.lit(0).cast("bigint"), lambda a, t: a + t["n"]),
-            ),
-        )
-        return F.aggregate(per_day, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
-
-    end30 = plus_days(F.col("end"), 30)
-    out = stays.join(days, "patient_id").select(
+    lines = H.timeline(v.tables, tuple(ALL))
+    days = H.patient_days(lines, tuple(ALL))
+
+    def counted(name, cut, inclusive):
+        # rows before a cut: whole days of the patient plus the part of the own day
+        cuts = v.encounter.select("patient_id", "encounter_id", cut.alias("cut"))
+        told = H.own_days(cuts, lines, tuple(ALL), inclusive).join(days, "patient_id")
+        past = F.filter("_days", lambda d: d["day"] < F.to_date("cut"))
+        whole = F.aggregate(past, F.lit(0).cast("bigint"), lambda acc, d: acc + d["n"])
+        return told.select("encounter_id", (whole + F.coalesce(F.col("_own")["n"], F.lit(0))).alias(name))
+
+    until = counted("until_end", F.col("end"), True)
+    after = counted("until_30", plus_days(F.col("end"), 30), True)
+    out = counted("before_start", F.col("start"), False).join(until, "encounter_id").join(after, "encounter_id")
+    return out.where("until_30 > 0").select(
         "encounter_id",
-        counted(F.col("start"), False).alias("before_start"),
-        counted(F.col("end"), True).alias("until_end"),
-        (counted(F.col("end"), True) - counted(F.col("start"), False)).alias("during"),
-        (counted(end30, True) - counted(F.col("end"), True)).alias("after_end"),
+        "before_start",
+        "until_end",
+        (F.col("until_end") - F.col("before_start")).alias("during"),
+        (F.col("until_30") - F.col("until_end")).alias("after_end"),
     )
-    return out.where(F.col("until_end") + F.col("after_end") > 0)
 
 
 @check(
@@ -421,7 +413,7 @@ def _(v):
 def _(v):
     lines = H.timeline(v.tables, ("condition",))
     cuts = v.encounter.select("patient_id", "encounter_id", F.col("start").alias("cut"))
-    told = H.history_before(cuts.join(H.patient_days(lines, ("condition",)), "patient_id"), ("condition",))
+    told = H.history_before(H.own_days(cuts, lines, ("condition",)).join(H.patient_days(lines, ("condition",)), "patient_id"))
     return told.select("encounter_id", "icd_version")
 
 

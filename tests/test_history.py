@@ -51,8 +51,9 @@ def world(spark):
 @pytest.mark.parametrize("inclusive", [False, True])
 def test_history_before_equals_plain_rendering(world, inclusive):
     events, stays, lines, encounters = world
-    cuts = encounters.withColumn("cut", F.col("end")).join(H.patient_days(lines, ("condition", "procedure")), "patient_id")
-    got = {r.encounter_id: r.history for r in H.history_before(cuts, ("condition", "procedure"), inclusive).collect()}
+    cuts = H.own_days(encounters.withColumn("cut", F.col("end")), lines, ("condition", "procedure"), inclusive)
+    cuts = cuts.join(H.patient_days(lines, ("condition", "procedure")), "patient_id")
+    got = {r.encounter_id: r.history for r in H.history_before(cuts).collect()}
     want = {e: expected_history(events[p], None, end, inclusive) for p, e, _, end in stays}
     assert got == {k: v for k, v in want.items() if v}
 
@@ -60,14 +61,19 @@ def test_history_before_equals_plain_rendering(world, inclusive):
 def test_only_records_before_the_last_cut_are_rendered(world):
     events, stays, lines, encounters = world
     some = encounters.where("encounter_id like '%-1'").withColumn("cut", F.col("end"))
-    days = H.patient_days(H.lines_until(lines, some), ("condition", "procedure"), some)
-    got = {r.encounter_id: r.history for r in H.history_before(some.join(days, "patient_id"), ("condition", "procedure")).collect()}
+    days = H.patient_days(H.lines_until(lines, some), ("condition", "procedure"))
+    told = H.own_days(some, lines, ("condition", "procedure"))
+    got = {r.encounter_id: r.history for r in H.history_before(told.join(days, "patient_id")).collect()}
     want = {e: expected_history(events[p], None, end, False) for p, e, _, end in stays if e.endswith("-1")}
     assert got == {k: v for k, v in want.items() if v}
     last = some.groupBy("patient_id").agg(F.to_date(F.max("cut")).alias("last"))
     each = days.select("patient_id", F.inline("_days")).join(last, "patient_id")
     assert each.where("day > last").count() == 0
-    assert each.where("entries is not null").count() <= some.count()
+    counts = {r.encounter_id: r.n for r in told.select("encounter_id", "_own.n").collect()}
+    assert len(counts) == some.count()
+    for p, e, _, end in stays:
+        if e.endswith("-1"):
+            assert (counts[e] or 0) == sum(ts.date() == end.date() and ts < end for ts, *_ in events[p])
 
 
 def test_history_during_equals_plain_rendering(world):

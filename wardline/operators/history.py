@@ -157,14 +157,8 @@ def lines_until(lines: DataFrame, cuts: DataFrame) -> DataFrame:
     return lines.join(need, "patient_id").where(F.col("ts") <= F.col("_until")).drop("_until")
 
 
-def patient_days(lines: DataFrame, resources: tuple[str, ...], cuts: DataFrame | None = None) -> DataFrame:
-    """One row per patient: calendar days, newest first, each rendered once.
-
-    Copies are counted before the first shuffle. A day keeps its entries with
-    their times beside the finished text, so the part of a day before a time
-    of day can be rendered from the same row; with ``cuts`` only the days on
-    which a cut of the patient lies keep them.
-    """
+def _day_entries(lines: DataFrame) -> DataFrame:
+    """(patient_id, day, entries): the distinct lines of each day with their times. Copies are counted before the shuffle."""
     counted = (
         lines.groupBy("patient_id", F.to_date("ts").alias("day"), "resource", "line", "ts", "icd_version")
         .agg(F.count("*").alias("n"))
@@ -174,23 +168,39 @@ def patient_days(lines: DataFrame, resources: tuple[str, ...], cuts: DataFrame |
         F.array_sort(F.collect_list(F.struct("ts", "n", "icd_version"))).alias("times")
     )
     entry = F.struct("resource", F.col("times")[0]["ts"].alias("first_ts"), "line", "times")
-    per_day = per_line.groupBy("patient_id", "day").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    per_day = per_day.withColumn("_cut_day", F.lit(True))
-    if cuts is not None:
-        cut_days = cuts.select("patient_id", F.to_date("cut").alias("day"), F.lit(True).alias("_cut_day")).distinct()
-        per_day = per_day.drop("_cut_day").join(cut_days, ["patient_id", "day"], "left")
-    rendered = per_day.select(
-        "patient_id",
-        "day",
-        render_day(F.col("day"), F.col("entries"), resources).alias("text"),
-        newest_condition(F.col("entries")).alias("icd"),
-        F.when(F.col("_cut_day"), F.col("entries")).alias("entries"),
-    )
+    return per_line.groupBy("patient_id", "day").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+
+
+def _told(day: Column, entries: Column, resources: tuple[str, ...]) -> list[Column]:
+    rows = F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, e: acc + _times_of(e))
+    return [rows.alias("n"), render_day(day, entries, resources).alias("text"), newest_condition(entries).alias("icd")]
+
+
+def patient_days(lines: DataFrame, resources: tuple[str, ...]) -> DataFrame:
+    """One row per patient: ``_days``, its calendar days (day, n, text, icd), newest first, each rendered once."""
+    rendered = _day_entries(lines).select("patient_id", "day", *_told(F.col("day"), F.col("entries"), resources))
     return rendered.groupBy("patient_id").agg(
-        F.sort_array(F.collect_list(F.struct("day", "text", "icd", "entries")), asc=False).alias("_days")
+        F.sort_array(F.collect_list(F.struct("day", "n", "text", "icd")), asc=False).alias("_days")
     )
 
 
+def own_days(cuts: DataFrame, lines: DataFrame, resources: tuple[str, ...], inclusive: bool = False) -> DataFrame:
+    """Adds to each cut ``_own``: (n, text, icd) of the part of its own day before it, null if there is none.
+
+    Cuts and records meet by patient and day, and only records of days with a
+    cut are looked at, so a cut carries nothing of other days.
+    """
+    day = F.to_date("cut").alias("day")
+    last = cuts.groupBy("patient_id", day).agg(F.max("cut").alias("_last"))
+    near = lines.withColumn("day", F.to_date("ts")).join(last, ["patient_id", "day"])
+    entries = _day_entries(near.where(F.col("ts") <= F.col("_last")))
+    entries = entries.select(F.col("patient_id").alias("_patient"), F.col("day").alias("_day"), F.col("entries").alias("_entries"))
+    same = (F.col("patient_id") == F.col("_patient")) & (F.to_date("cut") == F.col("_day"))
+    joined = cuts.join(entries, same, "left").withColumn("_before", entries_before(F.col("_entries"), F.col("cut"), inclusive))
+    own = F.when(F.size("_before") > 0, F.struct(*_told(F.to_date("cut"), F.col("_before"), resources)))
+    return joined.withColumn("_own", own).drop("_patient", "_day", "_entries", "_before")
+
+
 def render_day(day: Column, entries: Column, resources: tuple[str, ...]) -> Column:
     """Text of one day: a headed block per resource, resource names descending."""
     head = F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(":\n"))
@@ -203,8 +213,12 @@ def render_day(day: Column, entries: Column, resources: tuple[str, ...]) -> Colu
     return F.concat_ws("\n", *[block(r) for r in sorted(resources, reverse=True)])
 
 
+def _times_of(entry: Column) -> Column:
+    return F.aggregate(entry["times"], F.lit(0).cast("bigint"), lambda acc, t: acc + t["n"])
+
+
 def _print_entry(entry: Column) -> Column:
-    n = F.aggregate(entry["times"], F.lit(0).cast("bigint"), lambda acc, t: acc + t["n"])
+    n = _times_of(entry)
     return F.when(n > 1, F.concat(n.cast("string"), F.lit("x "), entry["line"])).otherwise(entry["line"])
 
 
@@ -229,26 +243,18 @@ def entries_before(entries: Column, cut: Column, inclusive: bool) -> Column:
     return F.filter(F.transform(entries, reduced), lambda e: F.size(e["times"]) > 0)
 
 
-def history_before(cuts: DataFrame, resources: tuple[str, ...], inclusive: bool = False) -> DataFrame:
+def history_before(cuts: DataFrame) -> DataFrame:
     """Adds ``history`` and ``icd_version`` of everything before each cut.
 
-    ``cuts`` has a ``cut`` time and the ``_days`` of its patient; cuts without
-    any earlier record are dropped.
+    ``cuts`` has a ``cut`` time, the part of its ``_own`` day before it, and
+    the ``_days`` of its patient; cuts without any earlier record are dropped.
     """
-    cut_day = F.to_date("cut")
-    own = F.get(F.filter("_days", lambda d: d["day"] == cut_day), F.lit(0))["entries"]
-    parts = cuts.withColumns(
-        {
-            "_past": F.filter("_days", lambda d: d["day"] < cut_day),
-            "_own": entries_before(own, F.col("cut"), inclusive),
-        }
-    ).drop("_days")
-    own_text = F.when(F.size("_own") > 0, render_day(cut_day, F.col("_own"), resources))
+    past = cuts.withColumn("_past", F.filter("_days", lambda d: d["day"] < F.to_date("cut"))).drop("_days")
     past_text = F.when(F.size("_past") > 0, F.array_join(F.transform("_past", lambda d: d["text"]), "\n"))
     past_icd = F.get(F.filter("_past", lambda d: d["icd"].isNotNull()), F.lit(0))["icd"]
-    newest = F.coalesce(newest_condition(F.col("_own")), past_icd)
+    newest = F.coalesce(F.col("_own")["icd"], past_icd)
     return (
-        parts.withColumn("history", strip_end(F.concat_ws("\n", own_text, past_text)))
+        past.withColumn("history", strip_end(F.concat_ws("\n", F.col("_own")["text"], past_text)))
         .withColumn("icd_version", F.coalesce(newest["icd_version"], F.lit("unknown")))
         .drop("_past", "_own")
         .where(F.length("history") > 0)

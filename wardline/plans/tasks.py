@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 
 from wardline.functions.texts import encounter_text, patient_text
 from wardline.functions.times import days_between, plus_days
-from wardline.operators.history import history_before, history_during, history_steps, lines_until, patient_days, timeline
+from wardline.operators.history import (
+    history_before,
+    history_during,
+    history_steps,
+    lines_until,
+    own_days,
+    patient_days,
+    timeline,
+)
 from wardline.operators.labels import Death, MainCode, Readmission, icd_labels, modality_labels
 from wardline.operators.rows import fetch_related, first_rows
 from wardline.operators.skew import hot_keys, salted_join
@@ -154,11 +162,12 @@ def build_samples(tables: dict[str, DataFrame], task: Task, use: dict[str, bool]
         stays = stays.withColumn("cut", F.col("end")).join(history_during(stays, lines, STAY), STAY)
         samples = salted_join(stays, person, ["patient_id"], "inner", hot, ["encounter_id"])
     else:
-        # stored: the cuts that stay decide which records are rendered at all
+        # the timeline is put together once; the cuts that stay decide which records are rendered at all
+        lines = cut_lineage(lines)
         cuts = cut_lineage(labelled_cuts(stays, task, tables, lines))
-        person = person.join(patient_days(lines_until(lines, cuts), resources, cuts), "patient_id")
-        joined = salted_join(cuts, person, ["patient_id"], "inner", hot, ["encounter_id"])
-        samples = history_before(joined, resources, task.inclusive)
+        person = person.join(patient_days(lines_until(lines, cuts), resources), "patient_id")
+        told = own_days(cuts, lines, resources, task.inclusive)
+        samples = history_before(salted_join(told, person, ["patient_id"], "inner", hot, ["encounter_id"]))
     if task.labels is not None and not task.need_labels:
         samples = samples.withColumn("labels", task.labels.value_at(F.col("cut")))
     samples = samples.withColumn("text", F.concat(sample_head(samples), task.text()))
