@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.operators.splits import bucket_offsets
+from wardline.session import cut_lineage
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -18,8 +19,9 @@ def class_counts(df: DataFrame, truth: str = "truth", predicted: str = "predicte
 
     Classes are the labels of ``classes`` (one column, label), or all that
     occur in the truth or in a prediction, so no false positive is left out.
+    A null list is an empty one.
     """
-    t, p = F.col(truth), F.col(predicted)
+    t, p = (F.coalesce(F.col(c), F.array().cast(df.schema[c].dataType)) for c in (truth, predicted))
 
     def tagged(labels: Column, kind: str) -> Column:
         return F.transform(labels, lambda x: F.struct(x.alias("label"), F.lit(kind).alias("kind")))
@@ -68,14 +70,16 @@ def metrics_from_counts(counts: DataFrame, rows: Column | int) -> DataFrame:
     )
 
 
-def classification_metrics(df: DataFrame, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
-    """Multi-label metrics of two label-list columns."""
-    return metrics_from_counts(class_counts(df, truth, predicted), df.agg(F.count("*")).scalar())
+def classification_metrics(df: DataFrame, truth: str = "truth", predicted: str = "predicted", classes: DataFrame | None = None) -> DataFrame:
+    """Multi-label metrics of two label-list columns, over ``classes`` (say, those of the training set) if given."""
+    return metrics_from_counts(class_counts(df, truth, predicted, classes), df.agg(F.count("*")).scalar())
 
 
-def top_k_label_metrics(df: DataFrame, k: int = 10, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+def top_k_label_metrics(
+    df: DataFrame, k: int = 10, truth: str = "truth", predicted: str = "predicted", classes: DataFrame | None = None
+) -> DataFrame:
     """The same on the ``k`` most frequent labels of the truth."""
-    counts = class_counts(df, truth, predicted)
+    counts = class_counts(df, truth, predicted, classes)
     top = counts.orderBy((F.col("tp") + F.col("fn")).desc(), "label").limit(k)
     return metrics_from_counts(top, df.agg(F.count("*")).scalar())
 
@@ -98,21 +102,29 @@ def binary_metrics(df: DataFrame, truth: str = "truth", predicted: str = "predic
     )
 
 
-def ranking_metrics(df: DataFrame, truth: str = "truth", score: str = "score", buckets: int = 65536) -> DataFrame:
-    """(auc_roc, auc_pr) of a 0/1 column and a score; ties form one step.
+def score_steps(df: DataFrame, truth: str = "truth", score: str = "score", ranges: int | None = None) -> DataFrame:
+    """(s, pos, neg, b): a stored row per score with its range, the highest scores first.
 
-    Rows are first reduced to one per score. Running sums are the totals of
-    the higher score ranges plus a running sum inside the range.
+    The bounds of the ranges come from a sample of the scores, so ranges hold
+    about the same number of steps however the scores crowd.
     """
-    steps = df.groupBy(F.col(score).cast("double").alias("s")).agg(
+    steps = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg")
     )
-    lo, hi = (steps.agg(f("s")).scalar() for f in (F.min, F.max))
-    place = F.when(hi > lo, F.floor((hi - F.col("s")) / (hi - lo) * (buckets - 1))).otherwise(F.lit(0))
-    placed = steps.withColumn("b", place.cast("int"))
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(steps.repartitionByRange(ranges, F.col("s").desc()).withColumn("b", F.spark_partition_id()))
+
+
+def ranking_metrics(df: DataFrame, truth: str = "truth", score: str = "score", ranges: int | None = None) -> DataFrame:
+    """(auc_roc, auc_pr) of a 0/1 column and a score; ties form one step, null scores are left out.
+
+    Running sums are the totals of the higher score ranges plus a running sum
+    inside the range; both are read from one stored table of steps.
+    """
+    placed = score_steps(df, truth, score, ranges)
     offsets = bucket_offsets(placed, [], "b", {"pos_off": F.col("pos"), "neg_off": F.col("neg")})
     inside = Window.partitionBy("b").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.join(offsets, "b").select(
+    run = placed.join(F.broadcast(offsets), "b").select(  # a row per range
         "pos",
         "neg",
         (F.sum("pos").over(inside) + F.col("pos_off")).alias("cum_pos"),

@@ -15,19 +15,21 @@ def predicted_labels(scored: DataFrame, cutoff: float = 0.5) -> DataFrame:
     return scored.withColumn("predicted", F.transform(kept, lambda s: s["label"]))
 
 
-def evaluate_test_set(scored: DataFrame, labels: str = "labels", cutoff: float = 0.5) -> DataFrame:
+def evaluate_test_set(
+    scored: DataFrame, labels: str = "labels", cutoff: float = 0.5, classes: DataFrame | None = None
+) -> DataFrame:
     """Metrics prefixed ``test_`` of scored samples.
 
-    Label lists are compared as sets; a 0/1 label is compared with its
-    ``score`` and also ranked.
+    Label lists are compared as sets, over ``classes`` if given; a 0/1 label
+    is compared with its ``score`` and also ranked.
     """
     if scored.schema[labels].dataType.typeName() == "array":
-        metrics = classification_metrics(predicted_labels(scored, cutoff), labels, "predicted")
+        metrics = classification_metrics(predicted_labels(scored, cutoff), labels, "predicted", classes)
     else:
         hard = scored.withColumn("predicted", (F.col("score") > cutoff).cast("int"))
         ranked = ranking_metrics(scored, labels, "score")
-        auc = {c: ranked.select(c).scalar() for c in ranked.columns}
-        metrics = binary_metrics(hard, labels, "predicted").withColumns(auc)
+        both = ranked.select(F.struct("*").alias("both")).scalar()
+        metrics = binary_metrics(hard, labels, "predicted").withColumns({c: both[c] for c in ranked.columns})
     return metrics.select(*[F.col(c).alias(f"test_{c}") for c in metrics.columns])
 
 
