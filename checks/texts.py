@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.registry import check
@@ -87,7 +89,8 @@ def perm_sql() -> str:
 # (h * a + b) modulo 2^64 in 32-bit halves, as DuckDB raises on overflow.
 MINHASH = {
     "tokens": TOKENS,
-    "grams": GRAMS,
+    # a text too short for an n-gram is one
+    "grams": GRAMS.replace("WHERE len(t) >= 13", "WHERE len(t) >= 13 UNION ALL SELECT doc_id, [array_to_string(t, ' ')] FROM tokens WHERE len(t) < 13"),
     "hashes": """SELECT doc_id, ('0x' || h[7:8] || h[5:6] || h[3:4] || h[1:2])::UBIGINT AS h
   FROM (SELECT doc_id, sha1(g) AS h FROM (SELECT doc_id, unnest(g) AS g FROM grams))""",
     "perms": perm_sql(),
@@ -108,9 +111,8 @@ MINHASH = {
     + "SELECT doc_id, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS sign FROM signs GROUP BY 1",
 )
 def _(v):
-    docs = v.raw("documents").where(N.has_ngrams(F.col("text")))
-    sign = N.minhash(F.col("text"))
-    return docs.select("doc_id", F.md5(F.array_join(F.transform(sign, lambda x: x.cast("string")), ",")).alias("sign"))
+    signs, sign = N.signed(v.raw("documents").select("doc_id", "text")), F.col("sign")
+    return signs.select("doc_id", F.md5(F.array_join(F.transform(sign, lambda x: x.cast("string")), ",")).alias("sign"))
 
 
 @check("tx05_band_candidates", ctes(MINHASH) + "SELECT src, dst FROM edges")
@@ -143,6 +145,18 @@ def _(v):
     return N.near_dedup(v.raw("documents"), "doc_id").select("doc_id")
 
 
+# A threshold of 0.5 gives 25 bands of 5 rows, which leave three permutations out.
+LOOSE = {**REACH, "bands": REACH["bands"].replace("i // 16", "i // 5").replace("FROM signs", "FROM signs WHERE i < 125")}
+
+
+@check(
+    "tx04_near_dedup_threshold",
+    recursive(LOOSE) + "SELECT doc_id FROM firsts WHERE doc_id NOT IN (SELECT node FROM parts WHERE node <> component)",
+)
+def _(v):
+    return N.near_dedup(v.raw("documents"), "doc_id", threshold=0.5).select("doc_id")
+
+
 @check(
     "tx07_keep_representative",
     "SELECT doc_id AS id FROM documents QUALIFY doc_id <> min(doc_id) OVER (PARTITION BY md5(text))",
@@ -230,16 +244,45 @@ def _(v):
     return out.withColumn("text", F.md5("text"))
 
 
-@check("tb08_pretrain_documents")
+# Chunks of both splits; of the train part those stay that are the first of their cluster.
+PRETRAIN = {
+    "reports": "SELECT (doc_id // 2)::VARCHAR AS patient_id, doc_id FROM documents",
+    **REPORT_SPLIT,
+    "pieces": """SELECT doc_id || '#' || lpad(start_index::VARCHAR, 12, '0') AS chunk_id, c.doc_id::VARCHAR AS diagnostic_report_id, patient_id, split, source AS category_display,
+  start_index, end_index, substr(text, start_index + 1, end_index - start_index) AS text FROM chunks c JOIN documents d USING (doc_id) JOIN reports r USING (doc_id) JOIN split USING (patient_id)""",
+    "train": "SELECT * FROM pieces WHERE split = 'train'",
+    **{k: q.replace("documents", "train").replace("doc_id", "chunk_id") for k, q in REACH.items()},
+    "corpus": """SELECT * FROM pieces WHERE split <> 'train' OR (chunk_id IN (SELECT chunk_id FROM firsts)
+  AND chunk_id NOT IN (SELECT node FROM parts WHERE node <> component))""",
+}
+
+
+@check("tb08_pretrain_documents", recursive(PRETRAIN) + "SELECT * REPLACE (md5(text) AS text) FROM corpus")
 def _(v):
-    return P.pretrain_documents(v.diagnostic_report).withColumn("text", F.md5("text"))
+    return P.pretrain_documents(v.diagnostic_report).drop("encounter_id").withColumn("text", F.md5("text"))
+
+
+# The split of the samples, under names of its own.
+SAMPLE_SPLIT = {
+    f"s_{k}": re.sub(r"\b(ids|forced|rest)\b", r"s_\1", q)
+    for k, q in split_sql("told", "(SELECT NULL AS label, patient_id FROM told WHERE false)", "validation").items()
+}
 
 
-@check("tb09_pretrain_corpus")
+@check(
+    "tb09_pretrain_corpus",
+    TB07.rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    + ",\n" + ",\n".join(f"{n} AS ({b})" for n, b in {**PRETRAIN, **SAMPLE_SPLIT}.items())
+    + f"""
+SELECT corpus, split, md5(text) AS text, count(*) AS n FROM (
+  SELECT 'records' AS corpus, s_split.split, head || 'Duration: ' || duration || {NL} || {NL} || coalesce(tumor, '') || 'ICD Version: ' || icd || {NL} || {NL}
+  || 'Patient journey in stay:' || {NL} || hist AS text FROM told LEFT JOIN tumor USING (patient_id) JOIN s_split USING (patient_id)
+  UNION ALL SELECT 'documents', split, text FROM corpus) GROUP BY 1, 2, 3""",
+)
 def _(v):
     samples = prepare.split_samples(tasks.build_samples(v.tables, tasks.pretrain_fhir()), other="validation")
     corpus = P.pretrain_corpus(samples, P.pretrain_documents(v.diagnostic_report))
-    return corpus.groupBy("corpus", "split").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+    return corpus.groupBy("corpus", "split", F.md5("text").alias("text")).agg(F.count("*").alias("n"))
 
 
 @check(

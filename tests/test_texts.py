@@ -129,12 +129,56 @@ def test_a_bucket_with_a_third_of_all_rows_gives_star_edges(spark, monkeypatch):
     assert sorted(map(tuple, edges)) == [(i, 0) for i in range(1, 100)]
 
 
-def test_signature_uses_the_smallest_permuted_hash():
+def signature_by_hand(text, a, b, compat=False):
     import hashlib
 
-    a, b = N.permutations()
-    grams = {"x y", "z"}
+    w = re.split("[^A-Za-z_0-9]", text)
+    grams = {" ".join(w[i : i + 13]) for i in range(len(w) - 12)} or (set() if compat else {" ".join(w)})
     hashes = [int.from_bytes(hashlib.sha1(g.encode()).digest()[:4], "little") for g in grams]
-    want = [min(((h * int(x) + int(y)) % 2**64) % N.RING & N.MASK for h in hashes) for x, y in zip(a, b)]
-    assert N.signature(grams, a, b).tolist() == want
-    assert set(N.signature(set(), a, b).tolist()) == {N.MASK}
+    return [min([((h * int(x) + int(y)) % 2**64) % N.RING & N.MASK for h in hashes], default=N.MASK) for x, y in zip(a, b)]
+
+
+def test_signatures_use_the_smallest_permuted_hash(spark):
+    rng = random.Random(6)
+    words = ["a", "bc", "é", "x-y", "", "_z9"]
+    texts = ["", "!", "one two", None, *(" ".join(rng.choices(words, k=rng.choice([5, 12, 13, 14, 60, 900]))) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    a, b = N.permutations()
+    for compat in (False, True):
+        got = {r.i: r.sign for r in N.signed(df, compat=compat).collect()}
+        assert got == {i: None if t is None else signature_by_hand(t, a, b, compat) for i, t in enumerate(texts)}
+
+
+def test_bands_and_rows_of_a_threshold(spark):
+    assert N.band_layout(0.85) == (N.BANDS, N.ROWS)
+    for t in (0.3, 0.5, 0.7, 0.9):
+        bands, rows = N.band_layout(t)
+        assert bands * rows <= N.NUM_PERM and abs((1 / bands) ** (1 / rows) - t) < 0.12
+    base = " ".join(f"w{i}" for i in range(600))
+    half = " ".join(f"w{i}" if i < 450 else f"v{i}" for i in range(600))  # 437 of 739 n-grams are shared
+    df = spark.createDataFrame([(1, base), (2, half), (3, "short one"), (4, "short one"), (5, "short two"), (6, None)], "id long, text string")
+    assert {r.id for r in N.near_dedup(df).collect()} == {1, 2, 3, 5, 6}
+    assert {r.id for r in N.near_dedup(df, threshold=0.5).collect()} == {1, 3, 5, 6}
+    with pytest.raises(ValueError):
+        N.near_dedup(df, threshold=1.0)
+
+
+def test_running_sums(spark):
+    numbers = [random.Random(3).randrange(100) for _ in range(1000)]
+    for n in (0, 1, 255, 256, 257, 1000):
+        df = spark.createDataFrame([(numbers[:n],)], "xs array<int>").select(N.running_sums(F.col("xs")).alias("sums"))
+        got = df.select([N.sum_at(F.col("sums"), F.lit(i)).alias(f"s{i}") for i in range(0, n, 51)]).first() if n else []
+        assert list(got) == [sum(numbers[: i + 1]) for i in range(0, n, 51)]
+
+
+def test_a_long_text_is_cut_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(1).select(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string"))).alias("text"))
+        start = time.perf_counter()
+        df.select(F.size(N.chunk_text(F.col("text")))).collect()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(400_000) < 40 * max(seconds(20_000), 0.3)
