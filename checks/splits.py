@@ -82,6 +82,29 @@ def _(v):
     return S.stratified_group_split(v.condition.select("patient_id", stems.alias("labels")))
 
 
+def start_sql(of: str) -> str:
+    return f"('0x' || substr(md5({of}), 1, 6))::BIGINT"
+
+
+@check(
+    "sp06_combo_group_split",
+    with_views("condition", more={
+        "lab": "SELECT DISTINCT patient_id, split_part(icd_code, '.', 1) AS label FROM condition",
+        "holders": "SELECT label, count(*) AS h FROM lab GROUP BY 1",
+        "people": """SELECT patient_id, '[' || string_agg('"' || label || '"', ',' ORDER BY label) || ']' AS stratum, min({'h': h, 'label': label}).label AS rarest
+  FROM lab JOIN holders USING (label) GROUP BY 1""",
+        "strata": "SELECT stratum, rarest, count(*) AS n FROM people GROUP BY ALL",
+        "turns": """SELECT *, coalesce(sum(n % 5) OVER (PARTITION BY rarest ORDER BY n DESC, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM strata""",
+        "ranked": f"SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {HASH}) AS rank FROM people JOIN turns USING (stratum, rarest)",
+    })
+    + f"""SELECT patient_id, stratum, (CASE WHEN rank <= n - n % 5 THEN rank - 1 + {start_sql('stratum')}
+  ELSE {start_sql('rarest')} + taken + rank - 1 - (n - n % 5) END % 5)::INT AS fold FROM ranked""",
+)
+def _(v):
+    stems = F.array(F.substring_index("icd_code", ".", 1))
+    return S.combo_group_split(v.condition.select("patient_id", stems.alias("labels")))
+
+
 @check(
     "sp07_balance_1_1",
     """WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || doc_id)) AS rank FROM labels)

@@ -141,7 +141,7 @@ def test_auc_agrees_with_spark_ml(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(2), rng.randrange(30) / 30) for _ in range(400)]
     df = spark.createDataFrame(rows, "truth int, score double")
-    got = M.ranking_metrics(df, buckets=8).first()
+    got = M.ranking_metrics(df, ranges=8).first()
     ml = df.select(F.col("truth").cast("double").alias("label"), array_to_vector(F.array(F.lit(1) - F.col("score"), F.col("score"))).alias("rawPrediction"))
     assert got.auc_roc == pytest.approx(BinaryClassificationEvaluator(numBins=0).evaluate(ml), abs=1e-9)
     same = M.ranking_metrics(df.where("truth = 1")).first()
@@ -180,3 +180,45 @@ def test_references_read_dated_blocks_and_lines(spark):
     refs = history_references(F.col("text"), F.col("p"), F.lit("2020-02-01 00:00:00+00:00"), "Condition")
     got = [r.display for r in row.select(F.inline(refs)).collect()]
     assert got == ["2x a, b on 2020-01-02", "c: d on 2020-01-02", "e on 2020-01-02", "f on 2020-01-01"]
+
+
+def test_ranges_of_crowded_scores_stay_even(spark):
+    crowded = spark.range(20_000).selectExpr("int(id % 3 = 0) as truth", "if(id % 100 = 0, id / 100, 1000 + id / 20000000) as score")
+    steps = M.score_steps(crowded, ranges=16)
+    sizes = [r["count"] for r in steps.groupBy("b").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * sum(sizes) / 16
+    assert M.ranking_metrics(crowded, ranges=16).first() == M.ranking_metrics(crowded, ranges=1).first()
+    assert M.ranking_metrics(crowded.withColumn("score", F.lit(None).cast("double"))).first().auc_roc is None
+
+
+def test_null_predictions_are_misses_and_classes_can_be_given(spark):
+    rows = [(["a"], None), (["a", "b"], ["a"]), (None, ["c"])]
+    df = spark.createDataFrame(rows, "truth array<string>, predicted array<string>")
+    counts = {r.label: (r.tp, r.fp, r.fn) for r in M.class_counts(df).collect()}
+    assert counts == {"a": (1, 0, 1), "b": (0, 0, 1), "c": (0, 1, 0)}
+    classes = spark.createDataFrame([("a",), ("d",)], "label string")
+    got = M.classification_metrics(df, classes=classes).first()
+    assert got.macro_recall == pytest.approx(0.25) and got.accuracy == pytest.approx(1 - 1 / 6)
+
+
+def test_folds_of_label_combinations_are_even(spark):
+    rng = random.Random(12)
+    rows = [(f"p{i}", rng.sample("abcdefgh", rng.choice([0, 1, 1, 2, 3])) + ["common"] * (i % 3 > 0)) for i in range(900)]
+    rows += [(f"p{i}", ["b"]) for i in range(0, 900, 50)]  # a second sample of some patients
+    samples = spark.createDataFrame(rows, "patient_id string, labels array<string>")
+    folds = {r.patient_id: (r.stratum, r.fold) for r in S.combo_group_split(samples).collect()}
+    assert len(folds) == 900
+    of = {p: set() for p in folds}
+    for p, labels in rows:
+        of[p] |= set(labels)
+
+    def spread(patients):
+        counts = [sum(folds[p][1] == f for p in patients) for f in range(5)]
+        return max(counts) - min(counts)
+
+    for combo in set(map(frozenset, of.values())):
+        assert spread([p for p in of if of[p] == combo]) <= 1
+    for label in "abcdefgh":
+        holders = [p for p in of if label in of[p]]
+        assert spread(holders) <= max(3, 0.1 * len(holders)), label
+    assert spread([p for p in of if "common" in of[p]]) <= 30

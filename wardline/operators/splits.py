@@ -126,6 +126,40 @@ def stratified_group_split(samples: DataFrame, folds: int = 5, seed: int = SEED)
     return ranked.select("patient_id", "stratum", F.pmod(F.col("rank") - 1 + start, F.lit(folds)).cast("int").alias("fold"))
 
 
+def combo_group_split(samples: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
+    """(patient_id, stratum, fold): whole patients, with every combination of labels spread evenly.
+
+    A stratum is the set of a patient's labels, as JSON. Of its n patients,
+    in hash order, as many as fill the folds equally are dealt round; the
+    n mod ``folds`` left over take the next folds of the rarest label in their
+    set, which all strata with that rarest label fill in turn, the largest
+    first. So the folds of a combination differ by one at most, and so do
+    those of the patients left over per rarest label. Only strata, not
+    patients, are numbered under a label.
+    """
+    pairs = sample_labels(samples).select("patient_id", F.col("label").cast("string").alias("label")).distinct()
+    sets = pairs.groupBy("patient_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    labels = F.coalesce("labels", F.array().cast("array<string>")).alias("labels")
+    people = distinct_ids(samples).join(sets, "patient_id", "left").select("patient_id", labels)
+    people = cut_lineage(people.withColumn("stratum", F.to_json("labels")))
+    strata = people.groupBy("stratum", "labels").agg(F.count("*").alias("n"))
+    holders = pairs.groupBy("label").agg(F.count("*").alias("holders"))
+    rarest = strata.select("stratum", F.explode("labels").alias("label")).join(holders, "label")
+    rarest = rarest.groupBy("stratum").agg(F.min(F.struct("holders", "label"))["label"].alias("rarest"))
+    strata = strata.join(rarest, "stratum", "left").select("stratum", "n", F.coalesce("rarest", F.lit("")).alias("rarest"))
+    left = F.col("n") % folds
+    before = Window.partitionBy("rarest").orderBy(F.col("n").desc(), "stratum").rowsBetween(Window.unboundedPreceding, -1)
+    strata = strata.withColumn("taken", F.coalesce(F.sum(left).over(before), F.lit(0)))
+    ranked = hash_rank(people.select("patient_id", "stratum"), ["patient_id"], ["stratum"], seed).join(strata, "stratum")
+
+    def start(of: str) -> Column:
+        return F.conv(F.substring(F.md5(F.col(of).cast("binary")), 1, 6), 16, 10).cast("long")
+
+    place = F.when(F.col("rank") <= F.col("n") - left, F.col("rank") - 1 + start("stratum"))
+    place = place.otherwise(start("rarest") + F.col("taken") + F.col("rank") - 1 - (F.col("n") - left))
+    return ranked.select("patient_id", "stratum", F.pmod(place, F.lit(folds)).cast("int").alias("fold"))
+
+
 def balance_1_1(df: DataFrame, keys: list[str], label: str = "labels") -> DataFrame:
     """As many positives (label 1) as negatives, alternating by rank."""
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
