@@ -10,7 +10,7 @@ from llm import brute
 from wardline.llm import chat
 from wardline.llm.decontaminate import contained_items, decontaminate
 from wardline.llm.lines import clean_lines
-from wardline.llm.packing import pack, pack_documents, plan
+from wardline.llm.packing import _Encoder, pack, pack_documents, plan
 from wardline.llm.pretokens import Cutter, merged, read_vocabulary
 from wardline.llm.quality import Forest, fit, quality_model, quality_scores
 from wardline.llm.tokens import count_tokens
@@ -42,6 +42,20 @@ def test_merging_equals_the_library(library):
         assert ids == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_every_code_point_is_cut_as_the_library_does(library):
+    v = read_vocabulary(PATH)
+    cutter, known = Cutter(v), _Encoder(open(PATH, encoding="utf-8").read())
+    letters = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b {c}{c} C{c}." for c in letters]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        parts = cutter.cut(text)
+        assert len(parts) == 1
+        assert np.frombuffer(b"".join(map(known.__getitem__, parts[0][1])), dtype="<u4").tolist() == want.ids, hex(ord(text[1]))
+    changed = [t for c, t in zip(letters, texts) if c in "\u0130\u0558\ua7cb\ua7dc\u1c89\u03a3"]
+    for text in changed:
+        assert len(merged(cutter.cut(text)[0][1], v)[0]) == len(library.encode(text, add_special_tokens=False).ids)
+
+
 def test_counts_equal_the_library(make, library):
     rows = [*enumerate(odd_texts(80)), (None, "x y"), (500, None)]
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(make(rows), PATH, limit=30).collect()}

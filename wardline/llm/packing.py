@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,20 +26,40 @@ BUCKET_ROWS = 100_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Encoder(dict):
+    """Ids of pre-tokens as little-endian bytes, found when they are first asked for; long ones are not kept."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.model, self.letters = Tokenizer.from_str(spec).model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        tokens = self.model.tokenize("".join([self.letters[b] for b in word.encode()]))
+        ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=2)
+def _encoder(spec: str) -> _Encoder:
+    """One encoder per Python worker, kept from task to task."""
+    return _Encoder(spec)
+
+
 def pieces_of(docs: DataFrame, path: str, size: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and a closing id, cut at ``size``.
 
     Pre-tokens are encoded by the model of the ``tokenizers`` library, each
-    one once per task while it is remembered.
+    one once per Python worker while it is remembered.
     """
     vocabulary = read_vocabulary(path)
     with open(path, encoding="utf-8") as file:
         spec = file.read()
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        model, cutter, letters, known = Tokenizer.from_str(spec).model, Cutter(vocabulary), byte_letters(), {}
+        known, cutter = _encoder(spec), Cutter(vocabulary)
         special = {i: np.uint32(i).astype("<u4").tobytes() for i in cutter.special.values()}
         end = np.uint32(closing).astype("<u4").tobytes()
         for batch in slices(batches, "text"):
@@ -46,19 +67,7 @@ def pieces_of(docs: DataFrame, path: str, size: int = 2048, closing: int = 0, id
                 known.clear()
             rows = []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids, passing = [], []
-                for s, words in cutter.cut(text or ""):
-                    if s is not None:
-                        ids.append(special[s])
-                        continue
-                    for w in set(words).difference(known):
-                        tokens = model.tokenize("".join([letters[b] for b in w.encode()]))
-                        known[w] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-                        if len(w) > LONGEST:
-                            passing.append(w)
-                    ids.extend(map(known.__getitem__, words))
-                for w in passing:
-                    known.pop(w, None)
+                ids = [special[s] if s is not None else b"".join(map(known.__getitem__, words)) for s, words in cutter.cut(text or "")]
                 data = b"".join([*ids, end])
                 for k, at in enumerate(range(0, len(data), 4 * size)):
                     part = data[at : at + 4 * size]

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-import regex
 
 
 def byte_letters() -> list[str]:
@@ -25,6 +25,8 @@ class Vocabulary:
     """What counting and encoding need of a tokenizer file; under 3 MB."""
 
     pattern: str
+    #: the file without its vocabulary, for the library to cut texts by
+    cutting: str
     special: dict[str, int]
     #: ids of the bytes, plain and as the last of a word
     inner: np.ndarray
@@ -53,7 +55,8 @@ def read_vocabulary(path: str) -> Vocabulary:
     order = np.argsort(keys, kind="stable")
     letters = byte_letters()
     return Vocabulary(
-        pattern=split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"),
+        pattern=split["pattern"]["Regex"],
+        cutting=json.dumps({**spec, "added_tokens": [], "post_processor": None, "decoder": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}),
         special={t["content"]: t["id"] for t in spec["added_tokens"]},
         inner=np.array([ids[c] for c in letters]),
         last=np.array([ids[c + end] for c in letters]),
@@ -64,19 +67,48 @@ def read_vocabulary(path: str) -> Vocabulary:
     )
 
 
+#: code points whose class is the same in every version of Unicode and which nothing is composed with:
+#: Latin letters with their punctuation, general punctuation and the euro sign
+SETTLED = [*range(0x180), *range(0x2000, 0x2065), 0x20AC]
+WHITE = {*range(0x09, 0x0E), 0x20, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F}
+
+
+def _settled(keep) -> str:
+    return "".join(re.escape(chr(c)) for c in SETTLED if keep(c))
+
+
 class Cutter:
-    """Cuts a text into (special id or None, pre-tokens) parts as the tokenizer's library does."""
+    """Cuts a text into (special id or None, pre-tokens) parts as the tokenizer's library does.
+
+    Texts of settled characters are cut by a plain pattern of them; texts with
+    others by the library's own normalizer and pre-tokenizer.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.special = vocabulary.special
-        self.find = regex.compile(vocabulary.pattern).findall
-        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
+        classes = {
+            r"\p{L}": _settled(lambda c: unicodedata.category(chr(c))[0] == "L"),
+            r"\p{N}": _settled(lambda c: unicodedata.category(chr(c))[0] == "N"),
+            r"\s": _settled(WHITE.__contains__),
+        }
+        pattern = vocabulary.pattern
+        for name, letters in classes.items():
+            pattern = pattern.replace(name, letters)
+        self.find = re.compile(pattern).findall
+        self.unsettled = re.compile(f"[^{_settled(lambda c: True)}]").search
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split
+        self.cutting, self.library = vocabulary.cutting, None
+        self.byte = {letter: b for b, letter in enumerate(byte_letters())}
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            # each letter is lower-cased by itself: no special form of sigma at the end of a word
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.find(text.lower())
+        if not self.unsettled(text):
+            return self.find(text.lower())
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.cutting)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte.__getitem__, letters)).decode() for letters, _ in pieces]
 
     def cut(self, text: str) -> list[tuple[int | None, list[str]]]:
         if "<" not in text or not any(s in text for s in self.special):
