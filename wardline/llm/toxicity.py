@@ -14,10 +14,12 @@ from wardline.llm.labelled import held_out, training_rows
 from wardline.session import cut_lineage
 
 SAMPLE, SHARD_ROWS, EPOCHS = 24_000, 12_000, 4
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
-#: texts of a shard that must hold a feature (at least; features are counted in COUNTERS bins)
-LEAST_TEXTS, COUNTERS = 3, 1 << 23
-#: features are hashed to so many bits; the model holds only those with a weight
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
+#: share of the classes' log odds by which the bias is centred: toxic texts are the rarer class
+CENTRE = 0.7
+#: features are counted in so many bins before they are numbered
+COUNTERS = 1 << 23
+#: features are hashed to so many bits; the model holds only those with a weight, at most so many
 BITS = 40
 MOST_WEIGHTS = 200_000
 _U = np.uint64
@@ -76,18 +78,18 @@ class Weights:
         return 1 / (1 + np.exp(-total))
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, features: int, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], y: np.ndarray, features: int, epochs: int = EPOCHS, l1: float = L1) -> tuple[np.ndarray, float]:
     """Weights and bias by FTRL-proximal steps over the rows; a row is the array of its feature numbers.
 
     Each coordinate has its own rate, ALPHA / (BETA + root of its summed
-    squared gradients); L1 keeps a coordinate at zero until its evidence
+    squared gradients); ``l1`` keeps a coordinate at zero until its evidence
     exceeds it. The bias is not penalised.
     """
     z, n = np.zeros(features), np.zeros(features)
     bias_z = bias_n = 0.0
 
     def weight(z, n):
-        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     def bias():
         return -bias_z / ((BETA + np.sqrt(bias_n)) / ALPHA)
@@ -106,6 +108,26 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, features: int, epochs: int = EPO
     return weight(z, n), float(bias())
 
 
+def least_texts(l1: float, epochs: int) -> int:
+    """Texts below which a feature can have no weight: a step adds at most 1 to its evidence, and more than ``l1`` is needed."""
+    return int(l1 // epochs) + 1
+
+
+def sparse_ftrl(rows: list[np.ndarray], y: np.ndarray, features: int, most: int) -> tuple[np.ndarray, float]:
+    """``ftrl`` with the standard L1, or raised by quarters until it leaves at most ``most`` weights.
+
+    The bias is centred towards equal classes by ``CENTRE`` of their log odds.
+    """
+    l1 = L1
+    while True:
+        w, bias = ftrl(rows, y, features, l1=l1)
+        if np.count_nonzero(w) <= most:
+            break
+        l1 *= 1.25
+    toxic = y.mean()
+    return w, bias + CENTRE * float(np.log((1 - toxic) / toxic)) if 0 < toxic < 1 else bias
+
+
 def toxicity_model(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, shard_rows: int = SHARD_ROWS, id_col: str = "doc_id", text_col: str = "text"
 ) -> Weights:
@@ -113,8 +135,9 @@ def toxicity_model(
 
     The sample is cut into shards of about ``shard_rows`` texts by the hash of
     the ids. Each shard runs FTRL in a task of its own; the model is the mean
-    of their sparse weights. Without labelled rows the score is about 0. More
-    than ``MOST_WEIGHTS`` weights are an error; none are cut.
+    of their sparse weights. Without labelled rows the score is about 0. A
+    shard whose text is so rich that its share of ``MOST_WEIGHTS`` weights
+    does not hold it learns again with a stronger L1.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -124,7 +147,7 @@ def toxicity_model(
             for h in _sets(part.column("text")):
                 texts[(h % _U(COUNTERS)).astype(np.int64)] += 1
         often = [
-            np.unique(np.concatenate([h[texts[(h % _U(COUNTERS)).astype(np.int64)] >= LEAST_TEXTS] for h in _sets(part.column("text"))]))
+            np.unique(np.concatenate([h[texts[(h % _U(COUNTERS)).astype(np.int64)] >= least_texts(L1, EPOCHS)] for h in _sets(part.column("text"))]))
             for part in slices(table.to_batches(), "text")
         ]
         seen = np.unique(np.concatenate(often))
@@ -134,7 +157,7 @@ def toxicity_model(
                 at = np.searchsorted(seen, h)
                 known = at < len(seen)
                 rows.append(at[known][seen[at[known]] == h[known]].astype(np.int32))
-        w, bias = ftrl(rows, table.column("label").to_numpy().astype(np.float64), len(seen))
+        w, bias = sparse_ftrl(rows, table.column("label").to_numpy().astype(np.float64), len(seen), MOST_WEIGHTS // shards)
         some = w != 0
         return pa.table({"key": pa.array(np.append(seen.view(np.int64)[some], -1)), "weight": pa.array(np.append(w[some], bias))})
 
@@ -147,9 +170,7 @@ def toxicity_model(
     if not trained:
         return Weights(np.zeros(0, dtype=_U), np.zeros(0), -35.0)
     sums = found.where("key != -1").groupBy("key").agg(F.sum("weight").alias("weight"))
-    got = sums.limit(MOST_WEIGHTS + 1).toArrow()  # rows of 16 bytes
-    if got.num_rows > MOST_WEIGHTS:
-        raise ValueError(f"the toxicity model has more than {MOST_WEIGHTS} weights: raise MOST_WEIGHTS or L1, or take a smaller sample")
+    got = sums.toArrow()  # MOST_WEIGHTS rows of 16 bytes at most
     key, weight = (got.column(c).to_numpy() for c in ("key", "weight"))
     order = np.argsort(key)
     return Weights(key[order].view(_U), weight[order] / trained, float(biases[0]) / trained)
