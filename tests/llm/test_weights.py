@@ -9,7 +9,9 @@ from wardline.llm import toxicity
 
 def test_a_model_that_is_too_large_is_learned_again(spark, make, monkeypatch):
     rng = random.Random(7)
-    rows = [(k, " ".join(["bad" if k % 2 else "good"] * 2 + [f"w{rng.randrange(50)}" for _ in range(10)])) for k in range(300)]
+    # signs of different strength, apart from each other
+    signs = [[w for i, w in enumerate(words) if rng.random() < 0.9 - 0.2 * i] for k in range(1500) for words in [("bad", "worse", "awful") if k % 2 else ("good", "better", "fine")]]
+    rows = [(k, " ".join(f"{w} x{rng.randrange(10**6)}" for w in [*own, "y", "y", "y"])) for k, own in enumerate(signs)]
     docs, labels = make(rows), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
     model = toxicity.toxicity_model(docs, labels)
     assert len(model.key) > 1 and (np.diff(model.key.view(np.int64)) > 0).all()
@@ -17,7 +19,7 @@ def test_a_model_that_is_too_large_is_learned_again(spark, make, monkeypatch):
     smaller = toxicity.toxicity_model(docs, labels)
     assert 0 < len(smaller.key) < len(model.key)
     got = toxicity.toxicity_scores(docs, smaller).collect()
-    assert sum(r.predicted == r.doc_id % 2 for r in got) >= 0.95 * len(got)
+    assert sum(r.predicted == r.doc_id % 2 for r in got) >= 0.8 * len(got)
 
 
 def ftrl_by_hand(rows, y, features, epochs, l1):
