@@ -179,5 +179,32 @@ select doc_id, n::bigint as n, form, case when form <> 'plain' then a end as pre
   sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
   sha256(t) as restored_sha256
 from parts
+""",
+    "op13_spellings": """
+with recursive polynomial(i, k, c) as (
+  select i, 0, i::bigint from range(0, 256) t(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from polynomial where k < 8
+), bytes as (select list(c order by i) as crc from polynomial where k = 8),
+runs as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as run from documents),
+lowered as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as m from runs where length(run) >= 7 group by all),
+hashed as (select run, m, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, [('0x' || substr(hex(encode(doc_id || ':' || run)), 2 * j + 1, 2))::bigint for j in range(0, strlen(doc_id || ':' || run))]),
+  lambda h, b: xor(h >> 8, crc[(xor(h, b) & 255) + 1]))) as h from lowered, bytes),
+cut as (select case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, m from hashed),
+words as (select word, sum(m)::bigint as n from cut where length(word) >= 7 group by word having sum(m) >= 2),
+less as (select word, n, unnest(range(1, length(word) + 1)) as i from words),
+parts as (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b from less),
+shorter as (select distinct p.word, w.word as near from parts p join words w on w.word = p.a || p.b),
+near as (
+  select p.word, q.word as near from parts p join parts q using (i, a, b) where p.word <> q.word
+  union select word, near from shorter union select near, word from shorter
+), best as (select near.word, count(*) as n_near, min(struct_pack(less := -n, near := near)) as top from near join words w on w.word = near.near group by near.word),
+forms as (
+  select words.word, n, coalesce(n_near, 0)::bigint as n_near, case when -top.less >= 10 * n then top.near end as form, case when -top.less >= 10 * n then -top.less end as form_n
+  from words left join best using (word)
+), roots as (
+  select word, word as root, form as next from forms
+  union all select roots.word, roots.next, forms.form from roots join forms on forms.word = roots.next
+)
+select forms.word, form, root, n, n_near, form_n from forms join (select word, root from roots where next is null) using (word)
 """,
 }
