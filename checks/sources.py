@@ -605,3 +605,19 @@ def _(v):
         return [{"id": resource["id"], "part": [1, 2]}]
 
     return X.custom_extract(encounter_resources(v), extractor, "id string, part array<int>", explode=["part"])
+
+
+@check(
+    "ud01_column_extract",
+    with_views("encounter")
+    + """SELECT encounter_id AS id, status, 'Practitioner/' || type_code AS person, 'ATND' AS role FROM encounter""",
+)
+def _(v):
+    fields = "id string, status string, participant array<struct<type:array<struct<coding:array<struct<code:string>>>>,individual:struct<reference:string>>>"
+    columns = {
+        "id": "r.id",
+        "person": "transform(r.participant, p -> p.individual.reference)",
+        "status": "r.status",
+        "role": "transform(r.participant, p -> p.type[0].coding[0].code)",
+    }
+    return X.column_extract(encounter_resources(v), "Encounter", fields, columns, explode=["person", "role"])

@@ -236,12 +236,14 @@ def _(v):
 @check(
     "src21_src22_samples_jsonl",
     with_views("condition", more={"lab": COND_LABELS, **split_sql("condition", "lab")})
-    + """SELECT c.patient_id, condition_id, icd_code FROM (SELECT DISTINCT patient_id, condition_id, icd_code FROM condition) c
-  JOIN split USING (patient_id) WHERE split = 'test'""",
+    + """SELECT c.patient_id, condition_id, icd_code, split FROM (SELECT DISTINCT patient_id, condition_id, icd_code FROM condition) c
+  JOIN split USING (patient_id)""",
 )
 def _(v):
     rows = v.condition.select("patient_id", "condition_id", "icd_code").distinct()
     labelled = v.condition.select("patient_id", F.array(F.substring_index("icd_code", ".", 1)).alias("labels"))
     path = scratch_path(v.spark, "samples")
     ST.write_samples(rows.join(S.label_covering_split(labelled), "patient_id"), path)
-    return ST.read_samples(v.spark, path, "test", "patient_id string, condition_id string, icd_code string")
+    schema = "patient_id string, condition_id string, icd_code string"
+    train, test = (ST.read_samples(v.spark, path, s, schema).withColumn("split", F.lit(s)) for s in ("train", "test"))
+    return train.unionByName(test)

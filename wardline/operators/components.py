@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.skew import MAX_HOT, MIN_HOT_ROWS, salted_join
+from wardline.operators.skew import MAX_HOT, MIN_HOT_ROWS, most_hot, salted_join
 from wardline.session import cut_lineage
 
 
 def _hubs(degrees: DataFrame, total_rows: int) -> DataFrame:
     """Nodes with so many neighbours that their rows must be split."""
-    limit = max(MIN_HOT_ROWS, total_rows // MAX_HOT)
+    limit = max(MIN_HOT_ROWS, total_rows // most_hot(degrees.sparkSession, MAX_HOT))
     return degrees.where(F.col("n") > limit).select("node", F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
 
 

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_HOT = 1000
 MIN_HOT_ROWS = 200_000
 
 
+def most_hot(spark: SparkSession, max_hot: int = MAX_HOT) -> int:
+    """How many keys can be hot: ``max_hot``, or the shuffle partitions if there are more."""
+    return max(max_hot, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def hot_keys(df: DataFrame, keys: list[str], max_hot: int = MAX_HOT, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Keys above 1/``max_hot`` of all rows with the number of salts for each.
 
-    The counts add up to the total, so fewer than ``max_hot`` keys can qualify:
-    the result is small whatever the input size.
+    With more shuffle partitions than that, a key is hot above the mean rows
+    of a partition, so the rows that stay together do not grow with the input
+    when the partitions do. The counts add up to the total, so fewer keys than
+    the larger of both numbers can qualify: the result is small whatever the
+    input size.
     """
     return hot_from_counts(df.groupBy(*keys).agg(F.count("*").alias("n")), keys, max_hot, min_rows)
 
@@ -21,7 +29,7 @@ def hot_keys(df: DataFrame, keys: list[str], max_hot: int = MAX_HOT, min_rows: i
 def hot_from_counts(counts: DataFrame, keys: list[str], max_hot: int = MAX_HOT, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """The same from a table that already holds the row count ``n`` per key."""
     total = counts.agg(F.sum("n").alias("t")).select(F.coalesce("t", F.lit(0))).scalar()
-    limit = F.greatest(F.lit(min_rows), (total / max_hot).cast("bigint"))
+    limit = F.greatest(F.lit(min_rows), (total / most_hot(counts.sparkSession, max_hot)).cast("bigint"))
     return counts.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
 
 

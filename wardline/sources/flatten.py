@@ -368,8 +368,8 @@ FLATTENERS = {
 def custom_extract(df: DataFrame, extractor, schema: str, explode: list[str] | None = None) -> DataFrame:
     """Rows of a user extractor ``dict -> list[dict]`` over the resource JSON.
 
-    Runs Arrow batches in the workers. ``explode`` turns parallel list columns
-    into rows.
+    Runs Arrow batches in the workers, for what ``column_extract`` cannot
+    express. ``explode`` turns parallel list columns into rows.
     """
     import json
 
@@ -380,8 +380,23 @@ def custom_extract(df: DataFrame, extractor, schema: str, explode: list[str] | N
             rows = [row for text in batch["resource"] for row in extractor(json.loads(text))]
             yield pd.DataFrame(rows)
 
-    out = df.select("resource").mapInPandas(run, schema)
-    if explode:
-        zipped = out.withColumn("_z", F.explode(F.arrays_zip(*explode))).drop(*explode)
-        out = zipped.select("*", *[F.col(f"_z.{c}").alias(c) for c in explode]).drop("_z")
-    return out
+    return _exploded(df.select("resource").mapInPandas(run, schema), explode)
+
+
+def column_extract(
+    df: DataFrame, resource_type: str, schema: str, columns: dict[str, str], explode: list[str] | None = None
+) -> DataFrame:
+    """A table of one's own by SQL expressions: column name to an expression over the parsed resource ``r``.
+
+    ``schema`` declares the fields of the resource that are read. Nothing
+    leaves the JVM, and only the folder of the type is read of a landing.
+    """
+    rows = df.where(F.col("resource_type") == resource_type).select(F.from_json("resource", schema).alias("r"))
+    return _exploded(rows.select(*[F.expr(x).alias(name) for name, x in columns.items()]), explode)
+
+
+def _exploded(out: DataFrame, explode: list[str] | None) -> DataFrame:
+    if not explode:
+        return out
+    zipped = out.withColumn("_z", F.explode(F.arrays_zip(*explode)))
+    return zipped.select(*[F.col(f"_z.{c}").alias(c) if c in explode else F.col(c) for c in out.columns])
