@@ -149,6 +149,43 @@ def test_signatures_use_the_smallest_permuted_hash(spark):
         assert got == {i: None if t is None else signature_by_hand(t, a, b, compat) for i, t in enumerate(texts)}
 
 
+def test_a_batch_is_unpacked_in_runs(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [None if i % 7 == 3 else "".join(f"{rng.randrange(2**32):08x}" for _ in range(i % 5)) for i in range(60)]
+    monkeypatch.setattr(N, "UNPACK", 80)
+    found, at = [], 0
+    for start, hashes, bounds in N.unpacked(pa.array(texts, pa.string())):
+        assert start == at and len(hashes) <= 10 + 4  # a run holds the digits it may and one text more
+        found += [hashes[i:j].tolist() for i, j in zip(bounds, bounds[1:])]
+        at = len(found)
+    assert found == [np.frombuffer(bytes.fromhex(t or ""), dtype="<u4").tolist() for t in texts]
+
+
+def test_band_keys_are_stored_before_they_are_read_again(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c d")], "id long, text string")
+    assert N.banded_texts(df).inputFiles()
+
+
+def test_documents_of_one_row_group_are_dealt_out(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from checks.views import Views
+
+    table = pa.table({"doc_id": list(range(400)), "text": [f"{i} " * 50 for i in range(400)]})
+    pq.write_table(table, tmp_path / "documents.parquet", compression="none", use_dictionary=False)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        sizes = Views(spark, str(tmp_path)).raw("documents").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sum(r["count"] for r in sizes) == 400 and max(r["count"] for r in sizes) < 200
+
+
 def test_bands_and_rows_of_a_threshold(spark):
     assert N.band_layout(0.85) == (N.BANDS, N.ROWS)
     for t in (0.3, 0.5, 0.7, 0.9):
