@@ -16,6 +16,7 @@ from wardline.operators import rows as R
 from wardline.operators import splits as S
 from wardline.operators import validate as V
 from wardline.plans import tasks as T
+from wardline.session import cut_lineage
 from wardline.sources import documents, flatten
 
 ENC = with_views("encounter")
@@ -273,8 +274,8 @@ def _(v):
   FROM encounter e JOIN tl USING (patient_id) GROUP BY 1 HAVING min(ts) <= any_value("end") + INTERVAL 30 DAY""",
 )
 def _(v):
-    lines = H.timeline(v.tables, tuple(ALL))
-    days = H.patient_days(lines, tuple(ALL))
+    lines = cut_lineage(H.timeline(v.tables, tuple(ALL)))
+    days = cut_lineage(H.patient_days(lines, tuple(ALL)).select("patient_id", F.expr("transform(_days, d -> struct(d.day, d.n))").alias("_days")))
 
     def counted(name, cut, inclusive):
         # rows before a cut: whole days of the patient plus the part of the own day

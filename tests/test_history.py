@@ -179,3 +179,32 @@ def test_modalities_fold_to_one_label_and_cuts_are_limited(spark):
     got = out.select("cut", rule.value_at(F.col("cut")).alias("labels")).orderBy("cut").collect()
     assert len(got) == 30
     assert got[0].labels == ["CT", "OT"] and got[19].labels == ["CT", "OT"] and got[20].labels == []
+
+
+def test_items_are_joined_once_for_all_views(spark):
+    from checks.views import Views
+
+    v = Views(spark, "/root/testdata/sf0.001")
+    files = [getattr(v, n).inputFiles() for n in ("condition", "procedure", "imaging_study", "medication", "biologically_derived_product")]
+    assert all(sorted(f) == sorted(files[0]) for f in files)
+    assert not any("lineitem" in f for f in files[0])
+
+
+def test_patient_days_are_those_of_the_day_texts(spark):
+    rows = [
+        ("p", "2020-01-01 08:00:00", "condition", "a", "2019"),
+        ("p", "2020-01-01 08:00:00", "condition", "a", "2020"),
+        ("p", "2020-01-01 07:00:00", "condition", "b", None),
+        ("p", "2020-01-01 09:00:00", "procedure", "c", None),
+        ("p", "2020-01-01 09:00:00", "medication", "left out", None),
+        ("p", "2020-01-03 09:00:00", "procedure", "", None),
+        (None, "2020-01-03 09:00:00", "procedure", "d", None),
+    ]
+    lines = spark.createDataFrame(rows, "patient_id string, ts string, resource string, line string, icd_version string")
+    days = H.patient_days(lines.withColumn("ts", F.col("ts").cast("timestamp")), ("condition", "procedure")).collect()
+    got = {r.patient_id: [(str(d.day), d.n, d.text, d.icd and d.icd.icd_version) for d in r["_days"]] for r in days}
+    first = "2020-01-01:\nc\n2020-01-01:\nb\n2x a"
+    assert got == {
+        "p": [("2020-01-03", 1, "2020-01-03:\n", None), ("2020-01-01", 4, first, "2020")],
+        None: [("2020-01-03", 1, "2020-01-03:\nd", None)],
+    }
