@@ -184,8 +184,8 @@ def test_modalities_fold_to_one_label_and_cuts_are_limited(spark):
 def test_items_are_joined_once_for_all_views(spark):
     from checks.views import Views
 
-    v = Views(spark, "/root/testdata/sf0.001")
-    files = [getattr(v, n).inputFiles() for n in ("condition", "procedure", "imaging_study", "medication", "biologically_derived_product")]
+    v = Views(spark, "/root/testdata/sf0.001").tables
+    files = [v[n].inputFiles() for n in ("condition", "procedure", "imaging_study", "medication", "biologically_derived_product")]
     assert all(sorted(f) == sorted(files[0]) for f in files)
     assert not any("lineitem" in f for f in files[0])
 
