@@ -112,3 +112,36 @@ def test_live_cohort_keeps_the_latest_ongoing_stay(spark):
     dim = spark.createDataFrame([("p", "p,r"), ("x", "x")], "patient_id string, linked_patient_id string")
     out = C.encounter_cohort(enc, dim, F.lit("2020-02-15").cast("timestamp")).collect()
     assert [(r.patient_id, r.original_patient_id, r.encounter_id) for r in out] == [("p,r", "p", "new")]
+
+
+def test_two_types_are_taken_in_one_pass(spark):
+    product = {"resourceType": "BiologicallyDerivedProduct", "id": "b", "request": [{"reference": "ServiceRequest/s"}]}
+    request = {"resourceType": "ServiceRequest", "id": "s", "subject": {"reference": "Patient/p"}}
+    given = {"resourceType": "MedicationAdministration", "medicationReference": {"reference": "Medication/m"}}
+    drug = {"resourceType": "Medication", "id": "m", "code": {"text": "d"}}
+    lines = [(json.dumps({"resourceType": "Bundle", "entry": [{"resource": r}]}),) for r in (product, request, given, drug)]
+    read = spark.sparkContext.accumulator(0)
+
+    def touch(line):
+        read.add(1)
+        return line
+
+    df = spark.createDataFrame(lines, "value string").select(F.udf(touch)("value").alias("value"))
+    for flatten, found in ((X.flatten_bdp, ("b", "s", "p")),):
+        read.value = 0
+        rows = [{**r.asDict()} for r in flatten(B.read_bundles(df)).collect()]
+        assert len(rows) == 1 and set(found) <= set(rows[0].values())
+        assert read.value == len(lines)
+
+
+def test_types_are_found_wherever_they_stand(spark):
+    texts = [
+        '{"resourceType":"A","id":"1"}', '{ "resourceType" : "B" }', '{"id":"it\'s","resourceType":"C"}', '{"resourceType":"D\\u0022"}', '{"resourceType":""}',
+        '{"resourceType":null}', '{"contained":[{"resourceType":"E"}]}', json.dumps('{"resourceType":"F'), json.dumps('{"resourceType":"G"}'), '{"resourceType":"H","resourceType":"I"}',
+        "'{\"resourceType\":\"J'",
+    ]
+    lines = ['{"resourceType":"Bundle","entry":[{"resource":%s}]}' % t for t in texts]
+    rows = B.parse_bundles(spark.createDataFrame([(x,) for x in lines], "value string"))
+    kind = F.get_json_object("resource", "$.resourceType")
+    wrong = rows.where(~F.col("resource_type").eqNullSafe(F.coalesce(kind, F.lit(B.REJECTED))))
+    assert rows.count() == len(lines) and wrong.collect() == []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 DAY_SECONDS = 86400
 
-# Accepted time patterns, tried in this order.
+# Accepted time patterns beside those of a cast, tried in this order.
 TIME_PATTERNS = (
     "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]XXX",
     "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]XXX",
@@ -15,9 +15,13 @@ TIME_PATTERNS = (
 
 
 def to_utc(text: Column) -> Column:
-    """Instant of a time text; naive text is UTC, unreadable text is null."""
+    """Instant of a time text; naive text is UTC, unreadable text is null.
+
+    The cast comes first, as it is many times faster than a pattern and reads
+    the same instant where both can read a text.
+    """
     tries = [F.try_to_timestamp(text, F.lit(p)) for p in TIME_PATTERNS]
-    return F.coalesce(*tries, F.try_to_timestamp(text))
+    return F.coalesce(F.try_to_timestamp(text), *tries)
 
 
 def days_between(start: Column, end: Column) -> Column:

@@ -27,11 +27,17 @@ def parse_bundles(df: DataFrame, json_col: str = "value") -> DataFrame:
         .when(F.col("b").isNull() | F.col("b._broken").isNotNull(), "not a JSON object of a bundle's form")
         .when(F.coalesce("b.resourceType", F.lit("")) != "Bundle", "not a bundle")
     )
-    marked = bundle.select("raw", reason.alias("whole"), "b.entry")
+    plain = ~F.contains("raw", F.lit("\\")) & ~F.contains("raw", F.lit("'"))
+    marked = bundle.select("raw", reason.alias("whole"), "b.entry", plain.alias("plain"))
     entries = F.when(F.col("whole").isNull(), F.col("entry"))  # a rejected line is one row
-    rows = marked.select(F.when(F.col("whole").isNotNull(), F.col("raw")).alias("raw"), "whole", F.explode_outer(entries).alias("e"))
-    rows = rows.where(F.col("whole").isNotNull() | F.col("e").isNotNull()).select("raw", "whole", F.col("e.resource").alias("resource"))
-    kind = F.get_json_object("resource", "$.resourceType")
+    rows = marked.select(F.when(F.col("whole").isNotNull(), F.col("raw")).alias("raw"), "whole", "plain", F.explode_outer(entries).alias("e"))
+    rows = rows.where(F.col("whole").isNotNull() | F.col("e").isNotNull()).select("raw", "whole", "plain", F.col("e.resource").alias("resource"))
+    # Without backslashes and apostrophes no string of a bundle holds a quote: what begins like an object is one, and its type
+    # can be read off without a parse, which filters by the type would repeat.
+    start = '{"resourceType":"'
+    first = F.col("plain") & F.startswith("resource", F.lit(start))
+    name = F.substr(F.substring_index("resource", '"', 4), F.lit(len(start) + 1))
+    kind = F.when(first, name).otherwise(F.get_json_object("resource", "$.resourceType"))
     part = F.when(F.col("resource").isNull(), "entry without a resource").when(F.col("kind").isNull(), "resource without a type")
     rows = rows.withColumn("kind", kind).withColumn("reason", F.coalesce("whole", part))
     found = F.when(F.col("whole").isNotNull(), F.col("raw")).otherwise(F.col("resource"))

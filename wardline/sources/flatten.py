@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wardline.functions.codes import code_in_system, extension_value, extract_id, safe_get, strip_ref
 from wardline.functions.times import to_utc
 from wardline.operators.rows import first_rows
+from wardline.session import cut_lineage
 
 CODING = "struct<system:string,version:string,code:string,display:string>"
 CONCEPT = f"struct<coding:array<{CODING}>,text:string>"
@@ -96,6 +97,20 @@ def parsed(df: DataFrame, resource_type: str) -> DataFrame:
     return rows.select(F.from_json("resource", SCHEMAS[resource_type]).alias("r")).select("r.*")
 
 
+def _together(df: DataFrame, **tables: tuple[str, str, list[Column]]) -> list[DataFrame]:
+    """Tables of several resource types, taken from ``df`` in one pass and stored.
+
+    A table is named by (type, schema, columns); the columns read the parsed
+    resource under the table's name. Without the store each table would read
+    and parse all of ``df`` again, and so would whoever reads them twice.
+    """
+    kind = F.col("resource_type")
+    rows = df.where(kind.isin([t for t, _, _ in tables.values()]))
+    rows = rows.select(kind, *[F.when(kind == t, F.from_json("resource", schema)).alias(name) for name, (t, schema, _) in tables.items()])
+    rows = cut_lineage(rows.select(kind, *[F.when(kind == t, F.struct(*columns)).alias(name) for name, (t, _, columns) in tables.items()]))
+    return [rows.where(kind == t).select(f"{name}.*") for name, (t, _, _) in tables.items()]
+
+
 def _ref(name: str, resource: str) -> Column:
     return strip_ref(F.col(f"{name}.reference"), resource)
 
@@ -330,22 +345,28 @@ def flatten_bdp(df: DataFrame, urls: dict[str, str] | None = None) -> DataFrame:
     ``urls`` maps the example urls to a site's own.
     """
     site = _site(urls)
-    kind = code_in_system(F.col("productCode.coding"), site(PRODUCT_KIND))
-    products = parsed(df, "BiologicallyDerivedProduct").select(
-        F.col("id").alias("bdp_id"),
-        extract_id(_first(F.col("request"))["reference"]).alias("service_request_id"),
-        to_utc(_first(F.col("storage"))["duration"]["end"]).alias("ausgabe_datetime"),
-        extension_value(F.col("extension"), site(PRODUCT_USE)).alias("ausgabe_type"),
+    kind = code_in_system(F.col("product.productCode.coding"), site(PRODUCT_KIND))
+    products = [
+        F.col("product.id").alias("bdp_id"),
+        extract_id(_first(F.col("product.request"))["reference"]).alias("service_request_id"),
+        to_utc(_first(F.col("product.storage"))["duration"]["end"]).alias("ausgabe_datetime"),
+        extension_value(F.col("product.extension"), site(PRODUCT_USE)).alias("ausgabe_type"),
         kind["code"].alias("code"),
         kind["display"].alias("display"),
-        extension_value(F.col("extension"), site(PRODUCT_OUTPUT)).alias("output_to"),
-    )
-    both = F.size("requester.extension") > 1
-    requests = parsed(df, "ServiceRequest").select(
-        F.col("id").alias("service_request_id"),
-        _ref("subject", "Patient").alias("patient_id"),
-        F.when(both, F.get(F.col("requester.extension"), F.lit(0))["valueString"]).alias("output_to_einskurz"),
-        F.when(both, F.get(F.col("requester.extension"), F.lit(1))["valueString"]).alias("output_to_einscode"),
+        extension_value(F.col("product.extension"), site(PRODUCT_OUTPUT)).alias("output_to"),
+    ]
+    extension = F.col("request.requester.extension")
+    both = F.size(extension) > 1
+    requests = [
+        F.col("request.id").alias("service_request_id"),
+        _ref("request.subject", "Patient").alias("patient_id"),
+        F.when(both, F.get(extension, F.lit(0))["valueString"]).alias("output_to_einskurz"),
+        F.when(both, F.get(extension, F.lit(1))["valueString"]).alias("output_to_einscode"),
+    ]
+    products, requests = _together(
+        df,
+        product=("BiologicallyDerivedProduct", SCHEMAS["BiologicallyDerivedProduct"], products),
+        request=("ServiceRequest", f"id string, subject {REF}, requester struct<extension:array<struct<valueString:string>>>", requests),
     )
     return join_requests(products, requests)
 
