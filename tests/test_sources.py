@@ -127,7 +127,7 @@ def test_two_types_are_taken_in_one_pass(spark):
         return line
 
     df = spark.createDataFrame(lines, "value string").select(F.udf(touch)("value").alias("value"))
-    for flatten, found in ((X.flatten_bdp, ("b", "s", "p")),):
+    for flatten, found in ((X.flatten_bdp, ("b", "s", "p")), (X.flatten_medication, ("m", "d"))):
         read.value = 0
         rows = [{**r.asDict()} for r in flatten(B.read_bundles(df)).collect()]
         assert len(rows) == 1 and set(found) <= set(rows[0].values())

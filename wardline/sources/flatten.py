@@ -324,14 +324,19 @@ def join_medication(administrations: DataFrame, medications: DataFrame) -> DataF
 
 def flatten_medication(df: DataFrame) -> DataFrame:
     """Administrations with the name of their medication."""
-    given = parsed(df, "MedicationAdministration").select(
-        _ref("medicationReference", "Medication").alias("medication_id"),
-        _ref("subject", "Patient").alias("patient_id"),
-        _ref("context", "Encounter").alias("encounter_id"),
-        "status",
-        to_utc(F.col("effectiveDateTime")).alias("datetime"),
+    given = [
+        _ref("given.medicationReference", "Medication").alias("medication_id"),
+        _ref("given.subject", "Patient").alias("patient_id"),
+        _ref("given.context", "Encounter").alias("encounter_id"),
+        F.col("given.status").alias("status"),
+        to_utc(F.col("given.effectiveDateTime")).alias("datetime"),
+    ]
+    names = [F.col("names.id").alias("medication_id"), F.col("names.code.text").alias("medication")]
+    given, names = _together(
+        df,
+        given=("MedicationAdministration", SCHEMAS["MedicationAdministration"], given),
+        names=("Medication", "id string, code struct<text:string>", names),
     )
-    names = parsed(df, "Medication").select(F.col("id").alias("medication_id"), F.col("code.text").alias("medication"))
     return join_medication(given, names)
 
 
