@@ -222,3 +222,26 @@ def test_folds_of_label_combinations_are_even(spark):
         holders = [p for p in of if label in of[p]]
         assert spread(holders) <= max(3, 0.1 * len(holders)), label
     assert spread([p for p in of if "common" in of[p]]) <= 30
+
+
+def test_per_patient_converts_batches_not_patients(spark):
+    import pandas as pd
+
+    from wardline.operators.scoring import per_patient
+
+    rows = [(str(i % 700) if i % 700 else None, str(i)) for i in range(7000)] + [("hot", str(i)) for i in range(25000)]
+
+    def process(pdf):
+        assert pdf.index.tolist() == list(range(len(pdf)))
+        n = pd.Series([len(pdf)], dtype="int64") if len(pdf) > 1 else pd.Series([None], dtype="object")
+        return pd.DataFrame({"patient_id": [pdf.patient_id.iloc[0]], "n": n, "last": [pdf.row.max()]})
+
+    df = spark.createDataFrame(rows + [("one", "1")], "patient_id string, row string")
+    out = per_patient(df, process, "patient_id string, n bigint, last string")
+    expected = {}
+    for k, x in rows:
+        n, last = expected.get(k, (0, ""))
+        expected[k] = (n + 1, max(last, x))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(k, *v) for k, v in expected.items()] + [("one", None, "1")], key=str)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+    assert per_patient(df.selectExpr("patient_id", "int(row) as row"), lambda pdf: pdf, "patient_id string, row int").count() == len(rows) + 1
