@@ -30,3 +30,18 @@ def test_classes_of_one_id_are_linked(make):
     a, b = texts(random.Random(5), 2)
     docs = make([(1, a), (5, a), (5, b), (3, b), (9, b)])
     assert {r.component_id for r in near_duplicates(docs).collect()} == {1}
+
+
+def test_free_memory_goes_back_between_tasks():
+    from wardline.llm.batches import slices
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    blocks = [bytes(4000 + i % 9) for i in range(50_000)]
+    kept = blocks[-1]  # lies above the others, so malloc keeps them
+    before = resident()
+    del blocks
+    assert list(slices(iter([]), "text")) == []
+    assert kept and before - resident() > 100e6

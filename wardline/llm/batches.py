@@ -8,6 +8,8 @@ prefix sums.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,8 +65,26 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * inverses[start])
 
 
+def give_back() -> None:
+    """Returns what finished work of this process left free to the system.
+
+    A Python worker goes on from stage to stage, and neither malloc nor Arrow's
+    pool gives memory back by itself: a worker would hold the most of any stage
+    while it loads the tables of the next.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with about ``limit`` bytes of text, one row at least."""
+    """Parts of the batches with about ``limit`` bytes of text, one row at least.
+
+    Memory that is free goes back before the first and after the last.
+    """
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -75,6 +95,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
