@@ -53,6 +53,46 @@ def test_near_duplicates_of_nothing_and_of_odd_rows(spark, make):
     assert got == [(3, 0, 3, True), (4, 0, 4, True), (5, 1, 5, True), (5, 1, 5, True)]
 
 
+def test_a_crowd_near_the_limit_is_not_compared_pair_by_pair(make, monkeypatch):
+    """600 texts that each lack 5 of 40 blocks: nothing in them is rare, and few pairs are linked."""
+    rng = random.Random(3)
+    blocks = [words(rng, 20, 10**6) for _ in range(40)]
+    gone = [set(rng.sample(range(40), 5)) for _ in range(600)]
+    rows = [(i, " ".join(w for k, block in enumerate(blocks) if k not in out for w in block)) for i, out in enumerate(gone)]
+    docs, compared = make(rows), []
+    kind = type(docs)
+    plain = kind.mapInArrow
+
+    def counted(self, function, schema, *rest):
+        if str(schema).startswith("src long, dst long"):
+            compared.append(self.count())
+        return plain(self, function, schema, *rest)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, 85).collect()}
+    assert got == brute.near_groups(rows, 85)
+    assert sum(compared) < 100 * len(rows)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_crowds_with_frequent_edits_equal_brute_force(make, percent):
+    """Edits that many texts share, with and without their centre."""
+    rng = random.Random(17)
+    rows = []
+    for middle in (True, False):
+        base = words(rng, 100)
+        for _ in range(250):
+            out = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                out[rng.randrange(100)] = f"e{rng.randrange(2)}"
+            rows.append(" ".join(out))
+        rows += [" ".join(base)] if middle else []
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(make(rows), percent).collect()}
+    assert got == brute.near_groups(rows, percent)
+
+
 @pytest.mark.parametrize("crowd", [0, 512])
 def test_repeated_words_equal_brute_force(make, cloud, crowd):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated_words(make(cloud), crowd=crowd).collect()}

@@ -10,11 +10,14 @@ by connected components.
 
 Rows with equal shingle sets are one class from the start, so copies cost one
 row each. In a band with k classes the smallest one is compared with the
-k - 1 others. Only bands whose classes are still in several groups then
-compare classes across groups. Before that, exact bounds take out what can't
-be linked any more: sizes that differ too much, and sets with too many rare
-shingles (most members of a cloud of near copies that are not linked to its
-centre). No link between different texts is lost to the bounds.
+k - 1 others. While large bands are in several groups, further classes are
+drawn to be compared with the rest of their band, and linked groups merge
+between these rounds. Only bands whose classes are then still in several
+groups compare classes across groups. Before that, exact bounds take out what
+can't be linked any more: sizes that differ too much, sets with too many rare
+shingles, and sets too far from their band's smallest one for what they can
+share against it (most members of a cloud of near copies that are not linked
+to its centre). No link between different texts is lost to the bounds.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from wardline.session import cut_lineage
 
 BANDS, ROWS = 25, 4
 RARE = 20
+#: further stars are drawn, ROUNDS times at most, while a row of a band has more partners than this in other groups
+PARTNERS, ROUNDS = 2, 6
 _U = np.uint64
 _SKETCH = "id long, n_shingles long, key_a long, key_b long, bands array<long>"
 
@@ -103,26 +108,32 @@ def _sets(size: int):
     return run
 
 
-def _similar(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=_U) for v in (a, b))
-                short, long_ = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(long_, short)
-                common = int((long_[np.minimum(at, len(long_) - 1)] == short).sum()) if len(long_) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["src", "dst"]).filter(pa.array(keep, type=pa.bool_()))
-
-    return run
+def _common(batches):
+    """Sizes of the two sets of each pair and of what they share."""
+    for batch in batches:
+        sizes = []
+        for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=_U) for v in (a, b))
+            short, long_ = (x, y) if len(x) <= len(y) else (y, x)
+            at = np.searchsorted(long_, short)
+            common = int((long_[np.minimum(at, len(long_) - 1)] == short).sum()) if len(long_) else 0
+            sizes.append((len(x), len(y), common))
+        table = np.array(sizes, dtype=np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("src"), batch.column("dst"), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], names=["src", "dst", "n1", "n2", "common"]
+        )
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) with n1, n2 and common from their full shingle sets."""
+    one = sets.select(F.col("id").alias("src"), F.col("members").alias("a"))
+    two = sets.select(F.col("id").alias("dst"), F.col("members").alias("b"))
+    return pairs.join(one, "src").join(two, "dst").mapInArrow(_common, "src long, dst long, n1 long, n2 long, common long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(compared: DataFrame, percent: int) -> DataFrame:
     """The pairs (src, dst) whose full shingle sets are similar enough."""
-    one = sets.select(F.col("id").alias("src"), F.col("members").alias("a"))
-    two = sets.select(F.col("id").alias("dst"), F.col("members").alias("b"))
-    return pairs.join(one, "src").join(two, "dst").mapInArrow(_similar(percent), "src long, dst long").distinct()
+    return compared.where(100 * F.col("common") >= percent * (F.col("n1") + F.col("n2") - F.col("common"))).select("src", "dst").distinct()
 
 
 def _members(batches):
@@ -145,7 +156,38 @@ def _close(percent: int, one: str, two: str):
     return 100 * F.least(one, two) >= percent * F.greatest(one, two)
 
 
-def _across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _merged(named: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(rows of the bands still torn, tables of pairs compared, tables of links) after some rounds of stars.
+
+    While the rows of the torn bands have many partners in other groups, each
+    band's rows are compared with one row drawn anew, and groups that are
+    linked become one. A round makes at most one pair a row; as soon as it no
+    longer merges much, the rest is left to the exact search.
+    """
+    made, found, before = [], [], None
+    for turn in range(ROUNDS):
+        held = named.groupBy("band", "group").agg(F.count("*").alias("m"))
+        bands = held.groupBy("band").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+        now = bands.agg(F.sum("m").alias("rows"), (F.sum(F.col("m").cast("double") * F.col("m") - F.col("own")) / 2).alias("pairs")).first()
+        if not now.rows or now.pairs <= PARTNERS * now.rows or (before is not None and now.pairs > 0.9 * before):
+            break
+        before = now.pairs
+        drawn = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "n", "group")).alias("hub")
+        met = named.join(named.groupBy("band").agg(drawn), "band").where((F.col("group") != F.col("hub.group")) & _close(percent, "n", "hub.n"))
+        pairs = met.select(F.least("id", "hub.id").alias("src"), F.greatest("id", "hub.id").alias("dst")).distinct()
+        pairs = cut_lineage(pairs.join(tried, ["src", "dst"], "left_anti"))
+        links = cut_lineage(_linked(_compared(pairs, sets), percent))
+        made, found, tried = [*made, pairs], [*found, links], tried.unionByName(pairs)
+        of = named.select("id", "group").distinct()
+        edges = links.join(of.select(F.col("id").alias("src"), F.col("group").alias("one")), "src")
+        edges = edges.join(of.select(F.col("id").alias("dst"), F.col("group").alias("two")), "dst")
+        joined = connected_components(edges.select(F.col("one").alias("src"), F.col("two").alias("dst")))
+        named = named.join(joined.withColumnRenamed("node", "group"), "group", "left").withColumn("group", F.coalesce("component", "group"))
+        named = cut_lineage(_torn(named.drop("component")))
+    return named, made, found
+
+
+def _across(named: DataFrame, sets: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     """Pairs (src, dst) of different groups that share a band and can be similar enough.
 
     A shingle held by at most ``RARE`` of these sets is rare. Two sets share
@@ -153,13 +195,22 @@ def _across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fewer others holds. So either the others alone are enough, which few pairs
     from different groups pass, or a rare shingle is shared, and pairs are
     found by it: at most ``RARE`` sets meet there.
+
+    Sets of one band are also told apart by what they have and lack against
+    the band's smallest id, with which ``stars`` compared them: if x differs
+    from it in a shingles and y in b, and c of these are the same, x and y
+    differ in a + b - 2 * c. Without a common rare shingle, c is at most what
+    either has of such differences beside its rare shingles.
     """
-    members = sets.join(named.select("id").distinct(), "id", "left_semi").mapInArrow(_members, "id long, h long")
+    members = sets.mapInArrow(_members, "id long, h long")
     held = cut_lineage(members.groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id")).where(F.col("df") <= RARE))
     few = cut_lineage(members.join(held.where("df > 1").select("h"), "h"))
     rare = held.where("df = 1").select("id").unionAll(few.select("id")).groupBy("id").agg(F.count("*").alias("rare"))
-    known = named.select("id", "n", "group").distinct().join(rare, "id", "left")
-    known = cut_lineage(known.select("id", "n", "group", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("others")))
+    # rows of one id can have several sets; what is counted by id says nothing about one of them
+    sure = sets.groupBy("id").agg((F.count("*") == 1).alias("sure"))
+    known = named.select("id", "n", "group").distinct().join(sure, "id").join(rare, "id", "left")
+    known = known.withColumn("rare", F.when(F.col("sure"), F.coalesce("rare", F.lit(0))).otherwise(0))
+    known = cut_lineage(known.withColumn("others", F.col("n") - F.col("rare")))
     left = known.select(F.col("id").alias("src"), F.col("n").alias("n1"), F.col("others").alias("o1"), F.col("group").alias("g1"))
     right = known.select(F.col("id").alias("dst"), F.col("n").alias("n2"), F.col("others").alias("o2"), F.col("group").alias("g2"))
     apart = (F.col("g1") != F.col("g2")) & _close(percent, "n1", "n2")
@@ -168,19 +219,41 @@ def _across(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     ids = few.groupBy("h").agg(F.collect_list("id").alias("ids"))  # RARE ids at most
     met = ids.select(F.explode("ids").alias("src"), "ids").select("src", F.explode(F.filter("ids", lambda i: i > F.col("src"))).alias("dst"))
-    met = met.groupBy("src", "dst").agg(F.count("*").alias("shared"))
+    met = cut_lineage(met.groupBy("src", "dst").agg(F.count("*").alias("shared")))
     by_rare = met.join(left, "src").join(right, "dst").where(apart & ((100 + percent) * (F.col("shared") + F.least("o1", "o2")) >= needed))
 
     # sets whose other shingles can't be enough for any partner of their band are left out
-    banded = named.select("band", "id").join(known, "id")
+    banded = named.select("band", "id", "low").join(known, "id")
     least = banded.groupBy("band").agg(F.min("n").alias("least"))
     partner = F.greatest("least", F.col("n") * percent / 100)
-    banded = banded.join(least, "band").where((100 + percent) * F.col("others") >= percent * (F.col("n") + partner))
-    banded = cut_lineage(_torn(banded.drop("least")))
-    one = banded.select("band", F.col("id").alias("src"), F.col("n").alias("n1"), F.col("others").alias("o1"), F.col("group").alias("g1"))
-    two = banded.select("band", F.col("id").alias("dst"), F.col("n").alias("n2"), F.col("others").alias("o2"), F.col("group").alias("g2"))
+    banded = banded.join(least, "band").where((100 + percent) * F.col("others") >= percent * (F.col("n") + partner)).drop("least")
+
+    # far: the differences, less as many as two sets of the size may have; same: those that a partner can share (twice, by percent)
+    differ = stars.groupBy("src", "dst").agg(F.count("*").alias("times"), F.max(F.col("n1") + F.col("n2") - 2 * F.col("common")).alias("differ"))
+    differ = differ.where("times = 1").select(F.col("src").alias("low"), F.col("dst").alias("id"), "differ")
+    banded = banded.join(differ, ["low", "id"], "left").join(met.select(F.col("src").alias("low"), F.col("dst").alias("id"), "shared"), ["low", "id"], "left")
+    differ = F.when(F.col("id") != F.col("low"), F.col("differ")).when(F.col("sure"), 0)
+    own = F.when(F.col("id") != F.col("low"), F.col("rare") - F.coalesce("shared", F.lit(0))).otherwise(0)
+    banded = banded.withColumns({"far": (100 + percent) * differ - (100 - percent) * F.col("n"), "same": 2 * (100 + percent) * (differ - own)})
+    banded = cut_lineage(banded.select("band", "id", "n", "others", "group", "far", "same"))
+
+    # sets too far from the nearest row of another group in the band are left out
+    far = F.coalesce("far", F.lit(-(1 << 62)))  # unknown: no bound
+    nearest = banded.groupBy("band").agg(F.min(F.struct(far.alias("far"), "group")).alias("first"))
+    banded = banded.join(nearest, "band")
+    second = banded.where(F.col("group") != F.col("first.group")).groupBy("band").agg(F.min(far).alias("second"))
+    banded = banded.join(second, "band")
+    partner = F.when(F.col("group") == F.col("first.group"), F.col("second")).otherwise(F.col("first.far"))
+    banded = banded.where(F.coalesce(F.col("same") >= F.col("far") + partner, F.lit(True))).drop("first", "second")
+    banded = cut_lineage(_torn(banded))
+
+    def side(i: int, name: str) -> DataFrame:
+        return banded.select("band", F.col("id").alias(name), *(F.col(c).alias(f"{k}{i}") for c, k in zip(("n", "others", "group", "far", "same"), "nogfs")))
+
+    one, two = side(1, "src"), side(2, "dst")
     enough = (100 + percent) * F.least("o1", "o2") >= needed
-    by_band = one.join(two, (one.band == two.band) & (F.col("src") < F.col("dst")) & apart & enough)
+    near = F.coalesce(F.least("s1", "s2") >= F.col("f1") + F.col("f2"), F.lit(True))
+    by_band = one.join(two, (one.band == two.band) & (F.col("src") < F.col("dst")) & apart & enough & near)
     return by_rare.select("src", "dst").union(by_band.select("src", "dst")).distinct()
 
 
@@ -220,15 +293,22 @@ def near_duplicates(
     # rows of one id are one document, so their classes are linked
     ends = cut_lineage(member.groupBy("id").agg(F.min("head").alias("src"), F.max("head").alias("last")).where("src != last").select("id", "src"))
     same = ends.join(member, "id").where("src != head").select("src", F.col("head").alias("dst")).distinct()
-    links = cut_lineage(_verified(star, sets, percent).select("src", "dst").unionByName(same).distinct())
+    stars = cut_lineage(_compared(star, sets))
+    links = cut_lineage(_linked(stars, percent).unionByName(same).distinct())
     groups = cut_lineage(connected_components(links))
 
     # classes that met in a band, but are not in one group yet, are compared across groups
-    named = met.select("band", "id", "n").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    named = cut_lineage(_torn(named.select("band", "id", "n", F.coalesce("component", "id").alias("group"))))
-    across = _across(named, sets, percent).join(star, ["src", "dst"], "left_anti")
-    more = cut_lineage(_verified(cut_lineage(across), sets, percent))
-    groups = connected_components(links.unionByName(more))
+    named = met.select("band", "id", "n", F.col("low.id").alias("low")).join(groups.withColumnRenamed("node", "id"), "id", "left")
+    named = cut_lineage(_torn(named.select("band", "id", "n", "low", F.coalesce("component", "id").alias("group"))))
+    sets = cut_lineage(sets.join(named.select("id").distinct(), "id", "left_semi"))
+    named, made, found = _merged(named, sets, star, percent)
+    across = _across(named, sets.join(named.select("id").distinct(), "id", "left_semi"), stars, percent)
+    for pairs in (star, *made):
+        across = across.join(pairs, ["src", "dst"], "left_anti")
+    found.append(cut_lineage(_linked(_compared(cut_lineage(across), sets), percent)))
+    for more in found:
+        links = links.unionByName(more)
+    groups = connected_components(links)
 
     head = groups.select(F.col("node").alias("head"), "component")
     named = member.join(head, "head", "left").select("id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
