@@ -151,3 +151,16 @@ def test_rows_of_one_id_lose_the_same_bytes(twins, crowd):
     docs, rows = twins
     got = {r.row: r.n_removed for r in remove_repeated_bytes(docs, length=60, crowd=crowd).collect()}
     assert [got[k] for k in range(len(rows))] == brute.strip_rows(rows, 60, 1, same_text=True)
+
+
+def test_groups_are_built_once_where_no_link_is_found_later(make, monkeypatch):
+    from wardline.llm import neardup
+
+    runs, built = [], neardup.connected_components
+    monkeypatch.setattr(neardup, "connected_components", lambda edges: runs.append(edges) or built(edges))
+    rng = random.Random(3)
+    base = words(rng, 200)
+    rows = list(enumerate([" ".join(base), " ".join(base + ["x"]), *(" ".join(words(rng, 50)) for _ in range(5))]))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(make(rows), 85).collect()}
+    assert got == brute.near_groups(rows, 85)
+    assert len(runs) == 1

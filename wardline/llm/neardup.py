@@ -302,13 +302,19 @@ def near_duplicates(
     named = cut_lineage(_torn(named.select("band", "id", "n", "low", F.coalesce("component", "id").alias("group"))))
     sets = cut_lineage(sets.join(named.select("id").distinct(), "id", "left_semi"))
     named, made, found = _merged(named, sets, star, percent)
-    across = _across(named, sets.join(named.select("id").distinct(), "id", "left_semi"), stars, percent)
-    for pairs in (star, *made):
-        across = across.join(pairs, ["src", "dst"], "left_anti")
-    found.append(cut_lineage(_linked(_compared(cut_lineage(across), sets), percent)))
-    for more in found:
-        links = links.unionByName(more)
-    groups = connected_components(links)
+    if not named.isEmpty():
+        across = _across(named, sets.join(named.select("id").distinct(), "id", "left_semi"), stars, percent)
+        tried = star
+        for pairs in made:
+            tried = tried.unionByName(pairs)
+        across = cut_lineage(across.join(tried, ["src", "dst"], "left_anti"))
+        found.append(cut_lineage(_linked(_compared(across, sets), percent)))
+    found = [more for more in found if not more.isEmpty()]
+    if found:  # the groups are stars by now, so they settle in fewer rounds than their links
+        edges = groups.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        for more in found:
+            edges = edges.unionByName(more)
+        groups = connected_components(edges)
 
     head = groups.select(F.col("node").alias("head"), "component")
     named = member.join(head, "head", "left").select("id", "n_shingles", F.coalesce("component", "head").alias("component_id"))
