@@ -219,3 +219,38 @@ def test_a_long_text_is_cut_in_proportion(spark):
 
     seconds(1000)
     assert seconds(400_000) < 40 * max(seconds(20_000), 0.3)
+
+
+def test_few_rows_have_no_hubs(spark):
+    degrees = spark.createDataFrame([(1, 5)], "node long, n long")
+    assert C._hubs(degrees, C.MIN_HOT_ROWS) is None
+    assert C._hubs(degrees, C.MIN_HOT_ROWS + 1) is not None
+
+
+def test_gram_codes_of_texts_in_a_batch():
+    import hashlib
+
+    import pyarrow as pa
+
+    texts = [None, "", "a-\U0001f600é b", "  ", "x" * 20, " ".join(f"w{i}é" for i in range(14))]
+    for compat in (False, True):
+        got = N.gram_codes(pa.array(texts), compat=compat).to_pylist()
+        for text, codes in zip(texts, got, strict=True):
+            if text is None:
+                assert codes is None
+                continue
+            w = re.split("[^A-Za-z_0-9]", text)
+            grams = [" ".join(w[i : i + 13]) for i in range(len(w) - 12)] or ([] if compat else [" ".join(w)])
+            assert codes == "".join(hashlib.sha1(g.encode()).hexdigest()[:8] for g in grams)
+
+
+def test_patients_are_split_before_texts_are_cut(spark, monkeypatch):
+    from wardline.plans import documents as D
+
+    plans, split = [], D.label_covering_split
+    monkeypatch.setattr(D, "label_covering_split", lambda s, *a, **k: plans.append(s._jdf.queryExecution().toString()) or split(s, *a, **k))
+    rows = [("1", "e", "c", "p1", "one two"), ("2", "e", "c", "p2", None), ("3", "e", "c", "p3", "  \n"), ("4", "e", "c", "p4", " three")]
+    reports = spark.createDataFrame(rows, "diagnostic_report_id string, encounter_id string, category_display string, patient_id string, text string")
+    got = {r.patient_id for r in D.pretrain_documents(reports).collect()}
+    assert got == {"p1", "p4"}
+    assert "Generate" not in plans[0]
