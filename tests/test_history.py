@@ -1,15 +1,18 @@
 import datetime as dt
 import random
+import re
 from collections import Counter, defaultdict
 from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
+from wardline.functions.texts import strip_end
 from wardline.operators import history as H
 from wardline.operators import labels as L
 from wardline.operators.skew import hot_keys
 from wardline.plans import tasks as T
+from wardline.session import cut_lineage
 
 BASE = dt.datetime(2020, 1, 1)
 HOUR, DAY = dt.timedelta(hours=1), dt.timedelta(days=1)
@@ -208,3 +211,74 @@ def test_patient_days_are_those_of_the_day_texts(spark):
         "p": [("2020-01-03", 1, "2020-01-03:\n", None), ("2020-01-01", 4, first, "2020")],
         None: [("2020-01-03", 1, "2020-01-03:\nd", None)],
     }
+
+
+def record_tables(spark):
+    """Conditions with copies and null keys, medications without a key."""
+    t = "2020-01-0{} 08:00:00".format
+    conditions = [
+        ("p", "c1", t(2), "B", "2020"), ("p", "c1", t(1), "A", "2019"), ("p", "c1", t(1), "A", "2018"), ("q", "c1", t(3), "A", None),
+        ("p", None, t(5), "N", "1"), ("p", None, t(4), "M", "2"), (None, "c9", t(1), "X", "1"), ("p", "c2", None, "Y", "1"),
+    ]
+    given = [("p", "m", "done", t(1)), ("p", "m", "done", t(1)), ("p", None, "done", t(1)), (None, "m", None, t(1)), ("q", "m", "done", None)]
+    condition = spark.createDataFrame(conditions, "patient_id string, condition_id string, condition_date string, icd_code string, icd_version string")
+    medication = spark.createDataFrame(given, "patient_id string, medication string, status string, datetime string")
+    return {
+        "condition": condition.withColumns({"condition_date": F.col("condition_date").cast("timestamp"), "icd_display": F.lit(None).cast("string")}),
+        "medication": medication.withColumn("datetime", F.col("datetime").cast("timestamp")),
+    }
+
+
+def shuffle_keys(df):
+    """What the rows are shuffled by, from the plan before it is run."""
+    return re.findall(r"Exchange hashpartitioning\(([^()]*), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_timeline_by_patient_holds_the_same_records(spark):
+    tables, names = record_tables(spark), ("condition", "medication")
+    plain, dealt = H.timeline(tables, names), H.timeline(tables, names, by_patient=True)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(dealt.collect(), key=key) == sorted(plain.collect(), key=key)
+    assert dealt.columns == plain.columns
+    found = sorted((r.patient_id or "", r.line) for r in dealt.collect())
+    assert found == [("", "X"), ("", "m"), ("p", "A"), ("p", "M"), ("p", "done"), ("p", "m, done"), ("p", "m, done"), ("q", "A")]
+
+
+def test_records_dealt_out_by_patient_are_shuffled_once(spark):
+    lines = H.timeline(record_tables(spark), ("condition", "medication"), by_patient=True)
+    days = H.day_texts(lines, ["patient_id"])
+    for df in (H.day_blocks(lines, ["patient_id"]), H.history_texts(days, ["patient_id"]), H.patient_days(lines, ("condition",))):
+        assert [k.split("#")[0] for k in shuffle_keys(df)] == ["patient_id"]
+
+
+def test_own_days_shuffle_nothing_by_day(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = H.timeline(record_tables(spark), ("condition", "medication"), by_patient=True)
+        cuts = spark.createDataFrame([("p", BASE + DAY), ("p", None), (None, BASE), ("q", BASE)], "patient_id string, cut timestamp")
+        told = H.own_days(cuts, lines, ("condition", "medication"))
+        assert {k.split("#")[0] for k in shuffle_keys(told)} == {"patient_id"} and not any("," in k for k in shuffle_keys(told))
+        got = sorted((str(r.patient_id), str(r.cut), r["_own"] and r["_own"].n) for r in told.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("None", str(BASE), None), ("p", str(BASE + DAY), None), ("p", "None", None), ("q", str(BASE), None)]
+
+
+def test_samples_shuffle_the_records_once(world, spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = T.build_samples({n: cut_lineage(t) for n, t in make_tables(world, spark).items()}, T.ds_readmission())
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in plan.splitlines() if "REPARTITION_BY_COL" in x]
+    assert len([x for x in dealt if "Reused" not in x]) == 1
+    assert all("," not in k for k in re.findall(r"Exchange hashpartitioning\(([^()]*), \d+\)", plan))
+
+
+def test_blanks_at_the_end_are_stripped(spark):
+    texts = ["a ", "a \n\t", " a", "", " \r\n", "a\x0b\x0c", None, "ä "]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    got = [r.y for r in df.select("i", strip_end(F.col("x")).alias("y")).orderBy("i").collect()]
+    assert got == ["a", "a", " a", "", "", "a", None, "ä "]

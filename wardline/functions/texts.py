@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,7 +54,13 @@ def encounter_text(columns: dict[str, Column]) -> Column:
 
 
 def strip_end(text: Column) -> Column:
-    return F.rtrim(text, F.lit(BLANKS))
+    """The text without blanks at its end; trimming looks at every character, so it is left to texts that end in a blank."""
+
+    def stripped(whole: Column) -> Column:
+        blank = reduce(or_, [whole.endswith(c) for c in BLANKS])
+        return F.when(blank, F.rtrim(whole, F.lit(BLANKS))).otherwise(whole)
+
+    return let(text, stripped)
 
 
 def strip(text: Column) -> Column:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.functions.texts import number_text, strip_end
+from wardline.functions.texts import let, number_text, strip_end
 from wardline.functions.times import in_window, time_text
 from wardline.operators.rows import first_rows
 from wardline.registry import RESOURCES
@@ -36,28 +36,62 @@ def cell_text(df: DataFrame, name: str) -> Column:
     return col.cast("string")
 
 
-def resource_lines(df: DataFrame, name: str, task: str | None = None) -> DataFrame:
-    """(patient_id, ts, resource, line, icd_version) rows of one resource."""
+def _resource_rows(df: DataFrame, name: str, task: str | None = None) -> DataFrame:
+    """(patient_id, unique key, ts, line, icd_version) of every dated row of one resource, copies of a record included."""
     spec = RESOURCES[name]
     line = F.concat_ws(", ", *[cell_text(df, c) for c in spec.columns(task)])
     version = F.lit(None).cast("string")
     if name == "condition" and "icd_version" in df.columns:
         version = cell_text(df, "icd_version")
-    rows = df.where(F.col(spec.time).isNotNull()).select(
+    return df.where(F.col(spec.time).isNotNull()).select(
         *dict.fromkeys(("patient_id", *spec.keys)),
         F.col(spec.time).alias("ts"),
         line.alias("line"),
         version.alias("icd_version"),
     )
+
+
+def resource_lines(df: DataFrame, name: str, task: str | None = None) -> DataFrame:
+    """(patient_id, ts, resource, line, icd_version) rows of one resource."""
+    spec = RESOURCES[name]
+    rows = _resource_rows(df, name, task)
     if spec.keys:
         rows = first_rows(rows, list(spec.keys), ["ts"])
     return rows.select("patient_id", "ts", F.lit(name).alias("resource"), "line", "icd_version")
 
 
-def timeline(tables: dict[str, DataFrame], resources: tuple[str, ...], task: str | None = None) -> DataFrame:
-    """All dated lines of the chosen resources, one row per record."""
-    parts = [resource_lines(tables[r], r, task) for r in resources if r in tables]
-    return reduce(DataFrame.unionByName, parts)
+def timeline(
+    tables: dict[str, DataFrame], resources: tuple[str, ...], task: str | None = None, by_patient: bool = False
+) -> DataFrame:
+    """All dated lines of the chosen resources, one row per record.
+
+    With ``by_patient`` the rows are dealt out by patient, in their only
+    shuffle: copies of a record are dropped there, and what is grouped by
+    patient, or by patient and more, is not shuffled again.
+    """
+    names = [r for r in resources if r in tables]
+    if not by_patient:
+        return reduce(DataFrame.unionByName, [resource_lines(tables[r], r, task) for r in names])
+
+    def rows(place: int) -> DataFrame:
+        spec = RESOURCES[names[place]]
+        record = F.lit(None).cast("string")
+        if spec.keys:
+            (key,) = (k for k in spec.keys if k != "patient_id")
+            record = F.col(key).cast("string")
+        found = _resource_rows(tables[spec.name], spec.name, task).withColumn("_record", record)
+        return found.select("patient_id", F.lit(place).cast("byte").alias("_place"), "_record", "ts", "line", "icd_version")
+
+    dealt = reduce(DataFrame.unionByName, [rows(i) for i in range(len(names))]).repartition("patient_id")
+    copies = Window.partitionBy("patient_id", "_place", "_record").orderBy("ts", "line", "icd_version")
+    keyed = F.col("_place").isin(*[i for i, name in enumerate(names) if RESOURCES[name].keys])
+    first = dealt.withColumn("_copy", F.row_number().over(copies)).where(~keyed | (F.col("_copy") == 1))
+    resource = F.get(F.array(*[F.lit(name) for name in names]), F.col("_place"))
+    return first.select("patient_id", "ts", resource.alias("resource"), "line", "icd_version")
+
+
+def _counted(n: Column, line: Column) -> Column:
+    return F.when(n > 1, F.concat(n.cast("string"), F.lit("x "), line)).otherwise(line)
 
 
 def _lines(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,18 +107,14 @@ def day_blocks(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One text block per key, day and resource.
 
     Equal lines are counted before they are collected, so a block holds each
-    distinct line once (``Nx line``), in the order of first appearance. The
-    counted lines of a day meet once, for the blocks and the texts of days.
+    distinct line once (``Nx line``), in the order of first appearance. Rows
+    that already lie together by ``keys`` are not shuffled here.
     """
     entry = F.struct("first_ts", "line", "n")
-    printed = F.transform(
-        F.array_sort(F.collect_list(entry)),
-        lambda e: F.when(e["n"] > 1, F.concat(e["n"].cast("string"), F.lit("x "), e["line"])).otherwise(e["line"]),
-    )
+    printed = F.transform(F.sort_array(F.collect_list(entry)), lambda e: _counted(e["n"], e["line"]))
     head = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(":\n"))
     return (
         _lines(rows, keys)
-        .repartition(*keys, "day")
         .groupBy(*keys, "day", "resource")
         .agg(F.sum("n").alias("n"), F.max("icd").alias("icd"), F.concat(head, F.array_join(printed, "\n")).alias("block"))
     )
@@ -149,7 +179,7 @@ def events_in_stays(
 def history_during(stays: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """History of each stay within [start, end], one row per stay that has any."""
     spans = stays.select(*keys, F.col("start").alias("_from"), F.col("end").alias("_to"))
-    rows = events_in_stays(spans, lines, F.col("_from"), F.col("_to"))
+    rows = events_in_stays(spans, lines, F.col("_from"), F.col("_to")).repartition(*keys)
     return history_texts(day_texts(rows, keys), keys)
 
 
@@ -160,12 +190,9 @@ def lines_until(lines: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def _day_entries(lines: DataFrame) -> DataFrame:
-    """(patient_id, day, entries): the distinct lines of each day with their times. Copies are counted before the shuffle."""
-    counted = (
-        lines.groupBy("patient_id", F.to_date("ts").alias("day"), "resource", "line", "ts", "icd_version")
-        .agg(F.count("*").alias("n"))
-        .repartition("patient_id", "day")
-    )
+    """(patient_id, day, entries): the distinct lines of each day with their times."""
+    day = F.to_date("ts").alias("day")
+    counted = lines.groupBy("patient_id", day, "resource", "line", "ts", "icd_version").agg(F.count("*").alias("n"))
     per_line = counted.groupBy("patient_id", "day", "resource", "line").agg(
         F.array_sort(F.collect_list(F.struct("ts", "n", "icd_version"))).alias("times")
     )
@@ -180,7 +207,23 @@ def _told(day: Column, entries: Column, resources: tuple[str, ...]) -> list[Colu
 
 def patient_days(lines: DataFrame, resources: tuple[str, ...]) -> DataFrame:
     """One row per patient: ``_days``, its calendar days (day, n, text, icd), newest first, each rendered once."""
-    rendered = day_texts(lines.where(F.col("resource").isin(*resources)), ["patient_id"])
+    kinds = F.array(*[F.lit(name) for name in sorted(resources, reverse=True)])
+    entry = F.struct(F.array_position(kinds, F.col("resource")).alias("kind"), "first_ts", "line", "n")
+    head = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(":\n"))
+
+    def printed(entries: Column) -> Column:
+        # the first line of each resource comes after a head
+        def line(e: Column, i: Column) -> Column:
+            first = (i == 0) | (F.get(entries, i - 1)["kind"] != e["kind"])
+            return F.concat(F.when(first, head).otherwise(F.lit("")), _counted(e["n"], e["line"]))
+
+        return F.array_join(F.transform(entries, line), "\n")
+
+    found = _lines(lines.where(F.col("resource").isin(*resources)), ["patient_id"])
+    days = found.groupBy("patient_id", "day").agg(
+        F.sum("n").alias("n"), F.sort_array(F.collect_list(entry)).alias("entries"), F.max("icd").alias("icd")
+    )
+    rendered = days.select("patient_id", "day", "n", let(F.col("entries"), printed).alias("text"), "icd")
     return rendered.groupBy("patient_id").agg(
         F.sort_array(F.collect_list(F.struct("day", "n", "text", "icd")), asc=False).alias("_days")
     )
@@ -189,15 +232,17 @@ def patient_days(lines: DataFrame, resources: tuple[str, ...]) -> DataFrame:
 def own_days(cuts: DataFrame, lines: DataFrame, resources: tuple[str, ...], inclusive: bool = False) -> DataFrame:
     """Adds to each cut ``_own``: (n, text, icd) of the part of its own day before it, null if there is none.
 
-    Cuts and records meet by patient and day, and only records of days with a
-    cut are looked at, so a cut carries nothing of other days.
+    Records are held against the calendar days with a cut of their patient,
+    where they lie, so only those of such days are grouped. What is left, one
+    row per day, meets the cuts by patient: a cut carries nothing of other
+    days, and nothing is shuffled by day.
     """
-    day = F.to_date("cut").alias("day")
-    last = cuts.groupBy("patient_id", day).agg(F.max("cut").alias("_last"))
-    near = lines.withColumn("day", F.to_date("ts")).join(last, ["patient_id", "day"])
-    entries = _day_entries(near.where(F.col("ts") <= F.col("_last")))
+    wanted = cuts.groupBy("patient_id").agg(F.collect_set(F.to_date("cut")).alias("_cut_days"))
+    near = lines.join(wanted, "patient_id").where(F.array_contains("_cut_days", F.to_date("ts"))).drop("_cut_days")
+    entries = _day_entries(near)
     entries = entries.select(F.col("patient_id").alias("_patient"), F.col("day").alias("_day"), F.col("entries").alias("_entries"))
-    same = (F.col("patient_id") == F.col("_patient")) & (F.to_date("cut") == F.col("_day"))
+    # not an equality of two columns, as that would be one more key to shuffle by
+    same = (F.col("patient_id") == F.col("_patient")) & (F.datediff("cut", "_day") == 0)
     joined = cuts.join(entries, same, "left").withColumn("_before", entries_before(F.col("_entries"), F.col("cut"), inclusive))
     own = F.when(F.size("_before") > 0, F.struct(*_told(F.to_date("cut"), F.col("_before"), resources)))
     return joined.withColumn("_own", own).drop("_patient", "_day", "_entries", "_before")
@@ -220,8 +265,7 @@ def _times_of(entry: Column) -> Column:
 
 
 def _print_entry(entry: Column) -> Column:
-    n = _times_of(entry)
-    return F.when(n > 1, F.concat(n.cast("string"), F.lit("x "), entry["line"])).otherwise(entry["line"])
+    return _counted(_times_of(entry), entry["line"])
 
 
 def newest_condition(entries: Column) -> Column:
@@ -253,13 +297,14 @@ def history_before(cuts: DataFrame) -> DataFrame:
     """
     past = cuts.withColumn("_past", F.filter("_days", lambda d: d["day"] < F.to_date("cut"))).drop("_days")
     past_text = F.when(F.size("_past") > 0, F.array_join(F.transform("_past", lambda d: d["text"]), "\n"))
+    told = (F.length(F.col("_own")["text"]) > 0) | (F.size("_past") > 0)
     past_icd = F.get(F.filter("_past", lambda d: d["icd"].isNotNull()), F.lit(0))["icd"]
     newest = F.coalesce(F.col("_own")["icd"], past_icd)
     return (
-        past.withColumn("history", strip_end(F.concat_ws("\n", F.col("_own")["text"], past_text)))
+        past.where(F.coalesce(told, F.lit(False)))
+        .withColumn("history", strip_end(F.concat_ws("\n", F.col("_own")["text"], past_text)))
         .withColumn("icd_version", F.coalesce(newest["icd_version"], F.lit("unknown")))
         .drop("_past", "_own")
-        .where(F.length("history") > 0)
     )
 
 

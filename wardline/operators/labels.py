@@ -89,16 +89,13 @@ def followed_by(stays: DataFrame, days: int = 30) -> DataFrame:
     def bucket(t):
         return F.floor(F.unix_micros(F.col(t)) / width).cast("bigint")
 
-    starts = (
-        stays.select("patient_id", "start")
-        .withColumn("_bucket", bucket("start"))
-        .groupBy("patient_id", "_bucket")
-        .agg(F.min("start").alias("_lo"), F.max("start").alias("_hi"))
+    # a start tells of its own bucket and of the one before
+    told = F.array(
+        F.struct(bucket("start").alias("_bucket"), F.col("start").alias("_same"), F.lit(None).cast("timestamp").alias("_next")),
+        F.struct((bucket("start") - 1).alias("_bucket"), F.lit(None).cast("timestamp").alias("_same"), F.col("start").alias("_next")),
     )
-    same = starts.select("patient_id", "_bucket", F.col("_hi").alias("_same"))
-    after = starts.select("patient_id", (F.col("_bucket") - 1).alias("_bucket"), F.col("_lo").alias("_next"))
     near = (
-        same.unionByName(after, allowMissingColumns=True)
+        stays.select("patient_id", F.inline(told))
         .groupBy("patient_id", "_bucket")
         .agg(F.max("_same").alias("_same"), F.min("_next").alias("_next"))
     )

@@ -138,10 +138,7 @@ def build_samples(tables: dict[str, DataFrame], task: Task, use: dict[str, bool]
     once and by patient, to the patient's attributes and rendered days.
     """
     resources = resources_for(task.name, use)
-    lines = timeline(tables, resources, task.name)
-    hot = hot_keys(tables["encounter"], ["patient_id"])
-
-    stays = valid_stays(tables["encounter"])
+    stays = valid_stays(tables["encounter"]).where(F.col("patient_id").isNotNull())
     if task.longer_than_days is not None:
         stays = stays.where(F.col("duration") > task.longer_than_days)
     if task.first_stay_only:
@@ -159,14 +156,24 @@ def build_samples(tables: dict[str, DataFrame], task: Task, use: dict[str, bool]
     if task.cuts is None:
         if task.labels is not None:
             stays = task.labels.attach(stays, tables)
-        stays = stays.withColumn("cut", F.col("end")).join(history_during(stays, lines, STAY), STAY)
-        samples = salted_join(stays, person, ["patient_id"], "inner", hot, ["encounter_id"])
+        history = history_during(stays, timeline(tables, resources, task.name), STAY)
+        hot = hot_keys(tables["encounter"], ["patient_id"])
+        told = salted_join(stays, person, ["patient_id"], "inner", hot, ["encounter_id"])
+        samples = told.withColumn("cut", F.col("end")).join(history, STAY)
     else:
-        # the timeline is put together once; the cuts that stay decide which records are rendered at all
-        lines = cut_lineage(lines)
-        cuts = cut_lineage(labelled_cuts(stays, task, tables, lines))
+        # the timeline is shuffled once, by patient; the cuts that stay decide which records are rendered at all
+        lines = timeline(tables, resources, task.name, by_patient=True)
+        if task.drop_unchanged:
+            stored = cut_lineage(lines)
+            cuts, lines = labelled_cuts(stays, task, tables, stored), stored.repartition("patient_id")
+        else:
+            cuts = labelled_cuts(stays, task, tables, lines)
+        cuts = cut_lineage(cuts)
+        hot = hot_keys(cuts, ["patient_id"])
         person = person.join(patient_days(lines_until(lines, cuts), resources), "patient_id")
         told = own_days(cuts, lines, resources, task.inclusive)
+        # without a hot patient the days stay where they were rendered
+        hot = None if hot.isEmpty() else hot
         samples = history_before(salted_join(told, person, ["patient_id"], "inner", hot, ["encounter_id"]))
     if task.labels is not None and not task.need_labels:
         samples = samples.withColumn("labels", task.labels.value_at(F.col("cut")))
