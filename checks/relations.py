@@ -274,20 +274,22 @@ def _(v):
   FROM encounter e JOIN tl USING (patient_id) GROUP BY 1 HAVING min(ts) <= any_value("end") + INTERVAL 30 DAY""",
 )
 def _(v):
-    lines = cut_lineage(H.timeline(v.tables, tuple(ALL)))
-    days = cut_lineage(H.patient_days(lines, tuple(ALL)).select("patient_id", F.expr("transform(_days, d -> struct(d.day, d.n))").alias("_days")))
-
-    def counted(name, cut, inclusive):
-        # rows before a cut: whole days of the patient plus the part of the own day
-        cuts = v.encounter.select("patient_id", "encounter_id", cut.alias("cut"))
-        told = H.own_days(cuts, lines, tuple(ALL), inclusive).join(days, "patient_id")
-        past = F.filter("_days", lambda d: d["day"] < F.to_date("cut"))
-        whole = F.aggregate(past, F.lit(0).cast("bigint"), lambda acc, d: acc + d["n"])
-        return told.select("encounter_id", (whole + F.coalesce(F.col("_own")["n"], F.lit(0))).alias(name))
-
-    until = counted("until_end", F.col("end"), True)
-    after = counted("until_30", plus_days(F.col("end"), 30), True)
-    out = counted("before_start", F.col("start"), False).join(until, "encounter_id").join(after, "encounter_id")
+    lines = H.timeline(v.tables, tuple(ALL), by_patient=True)
+    days = H.patient_days(lines, tuple(ALL)).select("patient_id", F.expr("transform(_days, d -> struct(d.day, d.n))").alias("_days"))
+    # a record is before the start if it is not after the microsecond before it, so all three cuts can be inclusive
+    bounds = {"before_start": F.col("start") - F.expr("interval 1 microsecond"), "until_end": F.col("end"), "until_30": plus_days(F.col("end"), 30)}
+    cuts = F.array(*[F.struct(F.lit(name).alias("bound"), cut.alias("cut")) for name, cut in bounds.items()])
+    cuts = v.encounter.select("patient_id", "encounter_id", F.inline(cuts))
+    # rows before a cut: whole days of the patient plus the part of the own day
+    told = H.own_days(cuts, lines, tuple(ALL), inclusive=True).join(days, "patient_id")
+    past = F.filter("_days", lambda d: d["day"] < F.to_date("cut"))
+    whole = F.aggregate(past, F.lit(0).cast("bigint"), lambda acc, d: acc + d["n"])
+    counts = cut_lineage(told.select("encounter_id", "bound", (whole + F.coalesce(F.col("_own")["n"], F.lit(0))).alias("n")))
+
+    def counted(name):
+        return counts.where(F.col("bound") == name).select("encounter_id", F.col("n").alias(name))
+
+    out = counted("before_start").join(counted("until_end"), "encounter_id").join(counted("until_30"), "encounter_id")
     return out.where("until_30 > 0").select(
         "encounter_id",
         "before_start",
@@ -412,7 +414,7 @@ def _(v):
   ON t.patient_id = e.patient_id AND t.ts < e.start GROUP BY 1""",
 )
 def _(v):
-    lines = H.timeline(v.tables, ("condition",))
+    lines = H.timeline(v.tables, ("condition",), by_patient=True)
     cuts = v.encounter.select("patient_id", "encounter_id", F.col("start").alias("cut"))
     told = H.history_before(H.own_days(cuts, lines, ("condition",)).join(H.patient_days(lines, ("condition",)), "patient_id"))
     return told.select("encounter_id", "icd_version")

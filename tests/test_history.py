@@ -282,3 +282,14 @@ def test_blanks_at_the_end_are_stripped(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
     got = [r.y for r in df.select("i", strip_end(F.col("x")).alias("y")).orderBy("i").collect()]
     assert got == ["a", "a", " a", "", "", "a", None, "ä "]
+
+
+def test_bounds_are_counted_from_records_that_are_not_stored(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as entry
+    from checks import relations
+
+    stored = []
+    monkeypatch.setattr(relations, "cut_lineage", lambda df: stored.append(df.columns) or cut_lineage(df))
+    out = entry.queries()["jn06_history_bounds"](spark, "/root/testdata/sf0.001")
+    assert out.columns == ["encounter_id", "before_start", "until_end", "during", "after_end"]
+    assert stored and not any("line" in columns for columns in stored)
