@@ -381,7 +381,7 @@ ALL_TL = with_views(*ALL_VIEWS, more={"tl": timeline_sql(list(LINES)), **DAYTEXT
 
 @check("ag03_day_block", ALL_TL + "SELECT patient_id, strftime(day, '%Y-%m-%d') AS day, resource, n, block FROM blocked")
 def _(v):
-    return H.day_blocks(H.timeline(v.tables, tuple(LINES)), ["patient_id"]).drop("icd")
+    return H.day_blocks(H.timeline(v.tables, tuple(LINES), by_patient=True), ["patient_id"]).drop("icd")
 
 
 @check(
@@ -390,7 +390,7 @@ def _(v):
   FROM blocked GROUP BY 1""",
 )
 def _(v):
-    days = H.day_texts(H.timeline(v.tables, tuple(LINES)), ["patient_id"])
+    days = H.day_texts(H.timeline(v.tables, tuple(LINES), by_patient=True), ["patient_id"])
     return H.history_texts(days, ["patient_id"]).select("patient_id", "n_rows", F.md5("history").alias("history"))
 
 

@@ -293,3 +293,11 @@ def test_bounds_are_counted_from_records_that_are_not_stored(spark, tmp_path, mo
     out = entry.queries()["jn06_history_bounds"](spark, "/root/testdata/sf0.001")
     assert out.columns == ["encounter_id", "before_start", "until_end", "during", "after_end"]
     assert stored and not any("line" in columns for columns in stored)
+
+
+@pytest.mark.parametrize("name", ["ag03_day_block", "ag04_history_text"])
+def test_day_queries_shuffle_records_by_patient_only(spark, name):
+    import __spark_entry__ as entry
+
+    keys = shuffle_keys(entry.queries()[name](spark, "/root/testdata/sf0.001"))
+    assert [k.split("#")[0] for k in keys] == ["patient_id"] and "," not in keys[0]
