@@ -301,3 +301,28 @@ def test_day_queries_shuffle_records_by_patient_only(spark, name):
 
     keys = shuffle_keys(entry.queries()[name](spark, "/root/testdata/sf0.001"))
     assert [k.split("#")[0] for k in keys] == ["patient_id"] and "," not in keys[0]
+
+
+def test_history_during_of_dealt_lines_and_odd_stays(spark):
+    lines = H.timeline(record_tables(spark), ("condition", "medication"), by_patient=True)
+    stays = [
+        ("p", "all", BASE, BASE + DAY * 60), ("p", "none", BASE + DAY * 40, BASE + DAY * 60), ("p", "back", BASE + DAY * 5, BASE),
+        ("p", "open", BASE, None), (None, "nobody", BASE, BASE + DAY), ("q", "empty", BASE, BASE + HOUR), ("p", "point", BASE + HOUR * 8, BASE + HOUR * 8),
+    ]
+    df = spark.createDataFrame(stays, "patient_id string, encounter_id string, start timestamp, end timestamp")
+    got = {r.encounter_id: (r.n_rows, r.history, r.icd_version) for r in H.history_during(df, lines, ["patient_id", "encounter_id"]).collect()}
+    first = "2020-01-01:\ndone\n2x m, done\n2020-01-01:\nA"
+    assert got == {"all": (5, f"2020-01-04:\nM\n{first}", "2"), "point": (4, first, "2018")}
+
+
+def test_split_samples_reads_the_samples_once(spark, tmp_path):
+    from wardline.plans.prepare import split_samples
+
+    rows = [(str(p), f"{p}-{i}", ["A", "B"][p % 2 : p % 2 + 1]) for p in range(10) for i in range(3)]
+    spark.createDataFrame(rows, "patient_id string, encounter_id string, labels array<string>").write.parquet(f"{tmp_path}/samples")
+    samples = spark.read.parquet(f"{tmp_path}/samples")
+    out = split_samples(samples)
+    assert not any(str(tmp_path) in f for f in out.inputFiles())
+    got = out.collect()
+    assert sorted((r.patient_id, r.encounter_id) for r in got) == sorted((p, e) for p, e, _ in rows)
+    assert len({(r.patient_id, r.split) for r in got}) == 10 and {r.split for r in got} == {"train", "test"}
